@@ -148,7 +148,7 @@ SQL = {
         FROM @supplier""",
     # edits of facility fields as they came in
     "edits": """
-        SELECT event_id AS edit_id, ts AS at, 'Customer#' || lpad(CAST(user_id AS STRING), 9, '0') AS facility_id,
+        SELECT event_id AS edit_id, ts AS made_at, 'Customer#' || lpad(CAST(user_id AS STRING), 9, '0') AS facility_id,
                CASE event_type WHEN 'signup' THEN 'facility_name' WHEN 'error' THEN 'pincode' WHEN 'view' THEN 'operator_type'
                     WHEN 'click' THEN 'bed_count' ELSE CASE WHEN event_id % 13 = 0 THEN 'owner' ELSE 'specialties_raw' END END AS field_name,
                CASE event_type

@@ -350,7 +350,7 @@ def validate_edits(edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.filter(F.col("error").isNull()).drop("error"), checked.filter(F.col("error").isNotNull())
 
 
-def apply_edits(m: Model, accepted: DataFrame, time: str = "at", tie: str = "edit_id") -> Model:
+def apply_edits(m: Model, accepted: DataFrame, time: str = "made_at", tie: str = "edit_id") -> Model:
     """Bring accepted edits into the corrections, the facilities and, for changed
     label lists, the bridge. The last edit per facility and field wins; edits of
     unknown facilities have no effect."""
@@ -370,7 +370,7 @@ ACTIONS = (
 
 
 def routed_actions(m: Model, gaps: DataFrame, actions: DataFrame) -> DataFrame:
-    """Actions (action_id, at, gap_id, fix_action, payload) with their fields
+    """Actions (action_id, made_at, gap_id, fix_action, payload) with their fields
     taken apart and an ``error`` where one is missing. For facility actions the
     id comes from the gap row, and from the payload only when the gap has none."""
     ids = gaps.filter(F.col("entity_type") == "facility").select(
@@ -387,7 +387,7 @@ def routed_actions(m: Model, gaps: DataFrame, actions: DataFrame) -> DataFrame:
     adds = act == "add_facility_specialty"
     facility_id = F.coalesce("__entity", field("facility_id"))
     fields = a.select(
-        "action_id", "at", "gap_id", "fix_action",
+        "action_id", "made_at", "gap_id", "fix_action",
         F.coalesce(facility_id, F.lit("")).alias("facility_id"),
         F.when(adds, "specialties_raw").otherwise(field("field_name")).alias("field_name"),
         F.when(adds, field("specialty")).otherwise(F.try_element_at("p", F.lit("corrected_value"))).alias("corrected_value"),
@@ -422,15 +422,15 @@ def resolve_actions(m: Model, gaps: DataFrame, actions: DataFrame, now: Column)
     routed = routed_actions(m, gaps, actions)
     good = routed.filter(F.col("error").isNull())
     rejected = routed.filter(F.col("error").isNotNull()).select("action_id", "gap_id", "fix_action", "error")
-    latest = [F.desc("at"), F.desc("action_id")]
+    latest = [F.desc("made_at"), F.desc("action_id")]
 
     def of(*kinds: str) -> DataFrame:
         return good.filter(F.col("fix_action").isin(*kinds))
 
     labels = of("add_specialty_category_mapping").select(
-        F.col("specialty").alias("specialties"), "category", "at", "action_id"
+        F.col("specialty").alias("specialties"), "category", "made_at", "action_id"
     )
-    first = last_edits(labels, ["specialties"], [F.asc("at"), F.asc("action_id")])
+    first = last_edits(labels, ["specialties"], [F.asc("made_at"), F.asc("action_id")])
     mapping = insert_absent(m.mapping, first, ["specialties"])
 
     pair = ["indicator_key", "specialty_category"]
@@ -441,7 +441,7 @@ def resolve_actions(m: Model, gaps: DataFrame, actions: DataFrame, now: Column)
     indicator_bridge = insert_absent(kept, added, pair)
 
     edits = of("add_facility_specialty", "update_facility_field")
-    edited = apply_edits(replace(m, mapping=mapping, indicator_bridge=indicator_bridge), edits, "at", "action_id")
+    edited = apply_edits(replace(m, mapping=mapping, indicator_bridge=indicator_bridge), edits, "made_at", "action_id")
 
     dismissed = of("dismiss_only").select(F.trim("gap_id").alias("gap_id")).distinct()
     status = dismissed.select("gap_id", F.lit("dismissed").alias("status"), F.lit(DISMISS_NOTE).alias("resolution_notes"))
