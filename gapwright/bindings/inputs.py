@@ -265,3 +265,25 @@ DERIVED["core_scenario"] = core_sql("ECONOMY", True)
 DERIVED["core_all"] = core_sql("ALL", False)
 DERIVED["risk"] = "SELECT *, demand_norm * (1 - supply_norm) AS risk FROM @core"
 
+
+# postal directory and placed raw rows, written out join by join
+DERIVED["directory"] = """
+    SELECT pincode, first_place.a AS district_name, first_place.b AS state_ut, ambiguous FROM (
+        SELECT pincode, min({'a': district_name, 'b': state_ut, 'c': district_raw}) AS first_place, count(DISTINCT district_raw) > 1 AS ambiguous FROM (
+            SELECT p.pincode, p.district_raw, p.state AS state_ut, coalesce(k.canonical, p.district_raw) AS district_name FROM (
+                SELECT CAST(pincode AS VARCHAR) AS pincode, trim(district) AS district_raw,
+                       coalesce(s.canonical, trim(statename)) AS state
+                FROM @postal LEFT JOIN @state_key s ON upper(trim(statename)) = s.k) p
+            LEFT JOIN @district_key k ON upper(p.district_raw) = k.k AND p.state = k.st) n
+        GROUP BY 1) g"""
+DERIVED["places"] = """
+    SELECT DISTINCT md5(concat_ws('|', district_name, state_ut)) AS district_id, district_name, state_ut FROM @named_wide"""
+DERIVED["bridged"] = """
+    SELECT b.unique_id, b.pincode, b.state_ut_raw, g.district_id, g.district_name, g.state_ut,
+           CASE WHEN g.district_id IS NOT NULL AND NOT coalesce(p.ambiguous, false) THEN 'high' WHEN g.district_id IS NOT NULL THEN 'medium'
+                WHEN s.canonical IS NOT NULL THEN 'low' ELSE 'unmatched' END AS join_confidence
+    FROM (SELECT unique_id, trim(address_stateOrRegion) AS state_ut_raw, CASE WHEN regexp_full_match(z, '[1-9][0-9]{5}') THEN z END AS pincode
+          FROM (SELECT *, regexp_replace(address_zipOrPostcode, '[^0-9]', '', 'g') AS z FROM @raw) r) b
+    LEFT JOIN @directory p ON p.pincode = b.pincode
+    LEFT JOIN @state_key s ON s.k = upper(b.state_ut_raw)
+    LEFT JOIN @places g ON upper(coalesce(p.district_name, '')) = upper(g.district_name) AND coalesce(p.state_ut, s.canonical) = g.state_ut"""

@@ -34,11 +34,6 @@ def suppressed_number(c: Column) -> Column:
     )
 
 
-def plain_number(c: Column) -> Column:
-    """The same struct for a column that is numeric already."""
-    return F.struct(c.cast("double").alias("value"), F.lit(False).alias("suppressed"))
-
-
 @dataclass(frozen=True)
 class Box:
     """Latitude/longitude bounds a valid point lies in."""

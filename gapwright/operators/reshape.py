@@ -9,31 +9,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gapwright.functions.jsontext import json_list
-from gapwright.functions.numbers import plain_number, suppressed_number
+from gapwright.functions.numbers import suppressed_number
 
 
 def unpivot(
     wide: DataFrame, ids: Sequence[str], key: str = "indicator_key", skip: Sequence[str] = ()
 ) -> DataFrame:
     """One row per (ids, column) with ``indicator_value, is_suppressed,
-    indicator_raw``. Text columns are parsed as survey values, numeric columns
-    are cast. All columns come out of a single scan."""
-    dtypes = dict(wide.dtypes)
-    names = [c for c in wide.columns if c not in ids and c not in skip]
-
-    def parsed(c: str) -> Column:
-        col = F.col(f"`{c}`")
-        number = suppressed_number(col) if dtypes[c] == "string" else plain_number(col)
-        return F.struct(number.alias("n"), col.cast("string").alias("raw"))
+    indicator_raw``, all columns out of a single scan.
 
-    boxed = wide.select(*ids, *[parsed(c).alias(c) for c in names])
-    long = boxed.unpivot(list(ids), [f"`{c}`" for c in names], key, "__cell")
+    Every cell goes through its text form, which keeps numbers exactly, so that
+    text and numeric columns are parsed by one expression after the unpivot.
+    (Unpivoting structs is no alternative: Spark takes their fields' nullability
+    from the first column.)
+    """
+    names = [c for c in wide.columns if c not in ids and c not in skip]
+    cells = wide.select(*ids, *[F.col(f"`{c}`").cast("string").alias(c) for c in names])
+    long = cells.unpivot(list(ids), [f"`{c}`" for c in names], key, "indicator_raw")
+    number = suppressed_number(F.col("indicator_raw"))
     return long.select(
         *ids,
         key,
-        F.col("__cell.n.value").alias("indicator_value"),
-        F.col("__cell.n.suppressed").alias("is_suppressed"),
-        F.col("__cell.raw").alias("indicator_raw"),
+        number["value"].alias("indicator_value"),
+        number["suppressed"].alias("is_suppressed"),
+        "indicator_raw",
     )
 
 
