@@ -1,3 +1,3 @@
 """Importing this module fills the registry."""
 
-from gapwright.bindings import cleaning, relational  # noqa: F401
+from gapwright.bindings import changes, cleaning, relational, reports  # noqa: F401
