@@ -11,6 +11,7 @@ from gapwright.bindings.standins import standin
 from gapwright.functions import jsontext, text
 from gapwright.operators import aggregates, joins, upsert
 from gapwright.plans import curation, quality, vocabulary
+from gapwright.session import settled
 
 c = F.col
 
@@ -44,19 +45,20 @@ GAP_SHOWN = (
 )
 
 
-def reconciled(s, d, reopen=("resolved",)):
-    found = quality.dq_gaps(inputs.corrected_model(s, d))
-    return upsert.merge_gaps(inputs.prior_gaps(s, d), found, inputs.now(), reopen)
+def reconciled(s, d):
+    """The newly found gaps, staged, and the gap table reconciled with them."""
+    staging = settled(quality.dq_gaps(inputs.corrected_model(s, d)))
+    return staging, upsert.merge_gaps(inputs.prior_gaps(s, d), staging, inputs.now())
 
 
 DERIVED["merged"] = merged_sql("@prior", "@new_gaps")
-bind("merge_gaps", lambda s, d: reconciled(s, d).select(*GAP_SHOWN), "SELECT * FROM @merged")
+bind("merge_gaps", lambda s, d: reconciled(s, d)[1].select(*GAP_SHOWN), "SELECT * FROM @merged")
 
 
 def replayed(s, d):
     """Reconciling a second time with the same findings changes nothing."""
-    found = quality.dq_gaps(inputs.corrected_model(s, d))
-    again = upsert.merge_gaps(reconciled(s, d), found, inputs.now())
+    staging, merged = reconciled(s, d)
+    again = upsert.merge_gaps(merged, staging, inputs.now())
     return again.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 

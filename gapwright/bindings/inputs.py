@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +17,22 @@ from gapwright.plans import curation, quality, scoring
 from gapwright.sources.params import scenario_items, scenario_rows
 from gapwright.sources.tables import alias_table
 
+
+
+def kept(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Build the plan of a model table once per session and source."""
+    known: dict[tuple[str, str], DataFrame] = {}
+
+    @functools.wraps(fn)
+    def build(spark: SparkSession, d: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, d)
+        if key not in known:
+            known[key] = fn(spark, d)
+        return known[key]
+
+    return build
+
+
 NOW = "2024-02-01 00:00:00"
 
 
@@ -20,33 +40,40 @@ def now():
     return F.lit(NOW).cast("timestamp")
 
 
+@kept
 def states(spark: SparkSession, d: str) -> DataFrame:
     return alias_table(standin(spark, d, "states"), "alias", ["canonical_state_ut"])
 
 
+@kept
 def districts(spark: SparkSession, d: str) -> DataFrame:
     return alias_table(
         standin(spark, d, "districts"), "alias", ["canonical_district"], also=["canonical_state_ut"]
     )
 
 
+@kept
 def directory(spark: SparkSession, d: str) -> DataFrame:
     return curation.geo_directory(standin(spark, d, "postal"), states(spark, d), districts(spark, d))
 
 
+@kept
 def places(spark: SparkSession, d: str) -> DataFrame:
     return curation.geography(standin(spark, d, "wide"), states(spark, d))
 
 
+@kept
 def long(spark: SparkSession, d: str) -> DataFrame:
     return curation.health_indicator(standin(spark, d, "wide"), states(spark, d))
 
 
+@kept
 def mapping(spark: SparkSession, d: str) -> DataFrame:
     part = standin(spark, d, "part").filter(~F.col("p_name").endswith("ring"))
     return majority_vote(part.select(F.col("p_name").alias("specialties"), F.col("p_type").alias("category")), "specialties", "category")
 
 
+@kept
 def descriptions(spark: SparkSession, d: str) -> DataFrame:
     return standin(spark, d, "raw").filter(F.trim("name") != "null").select(
         F.trim("name").alias("facility_id"), "description"
@@ -66,13 +93,12 @@ def model(spark: SparkSession, d: str) -> quality.Model:
 
 
 def corrected_model(spark: SparkSession, d: str) -> quality.Model:
-    from dataclasses import replace
-
     m = model(spark, d)
     facility = overlay(m.facility, standin(spark, d, "corrections"), "facility_id", curation.CORRECTED)
     return replace(m, facility=facility)
 
 
+@kept
 def prior_gaps(spark: SparkSession, d: str) -> DataFrame:
     """An earlier gap table: found before corrections, with statuses given since."""
     first = F.substring("gap_id", 1, 1)
@@ -87,6 +113,7 @@ def prior_gaps(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@kept
 def scenario(spark: SparkSession, d: str) -> DataFrame:
     return scenario_rows(scenario_items(standin(spark, d, "scenarios"), "doc"))
 

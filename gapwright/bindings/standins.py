@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -209,14 +210,35 @@ def ordered(names: list[str]) -> list[str]:
     return out
 
 
+_KNOWN: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def standin(spark: SparkSession, source: str, name: str) -> DataFrame:
-    """A synthetic table or a stand-in as a DataFrame."""
+    """A synthetic table or a stand-in as a DataFrame. Only the plan is kept
+    between calls, so that files are listed and text is parsed once."""
+    key = (spark.sparkContext.applicationId, source, name)
+    if key not in _KNOWN:
+        _KNOWN[key] = _read(spark, source, name)
+    return _KNOWN[key]
+
+
+def _read(spark: SparkSession, source: str, name: str) -> DataFrame:
     if name in TABLES:
         return spark.read.parquet(f"{source}/{name}.parquet")
+    text = SQL[name]
+    deps = sorted(set(_used(text)))
+    frames = {dep: standin(spark, source, dep) for dep in deps}
+    # braces of JSON in the text are doubled, those around names are not
+    escaped = text.replace("{", "{{").replace("}", "}}")
+    df = spark.sql(re.sub(r"@(\w+)", r"{\1}", escaped), **frames)
+    return _as_stored(df) if name in STORED else df
+
+
+# wide stand-ins whose computed columns should look like those of a stored table
+STORED = ("raw",)
 
-    def resolve(m: re.Match) -> str:
-        dep = m.group(1)
-        return dep if dep in SQL else f"parquet.`{source}/{dep}.parquet`"
 
-    parts = ", ".join(f"{n} AS ({re.sub(r'@(\w+)', resolve, SQL[n])})" for n in ordered([name]))
-    return spark.sql(f"WITH {parts} SELECT * FROM {name}")
+def _as_stored(df: DataFrame) -> DataFrame:
+    """Keep the optimizer from moving filters into the expressions that make the
+    values up: with many such columns it would try all their combinations."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))

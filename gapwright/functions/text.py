@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,8 +20,14 @@ def nullify(c: Column, tokens: Sequence[str] = NULL_TOKENS) -> Column:
 
 
 def populated(c: Column, tokens: Sequence[str] = NULL_TOKENS) -> Column:
-    """1 where the value, as text, is neither NULL nor a missing-value token."""
-    return F.when(nullify(c.cast("string"), tokens).isNotNull(), 1).otherwise(0)
+    """1 where the value, as text, is neither NULL nor a missing-value token.
+
+    The trim names its character: as an expression it then differs from the
+    plain ``trim(c)`` that cleaning projects right after, and the optimizer does
+    not rewrite a filter on many such columns once per combination of them.
+    """
+    t = F.trim(c.cast("string"), F.lit(" "))
+    return F.when(~t.isin(*tokens), 1).otherwise(0)
 
 
 def populated_count(cols: Sequence[Column], tokens: Sequence[str] = NULL_TOKENS) -> Column:
@@ -68,12 +76,27 @@ def is_label(c: Column) -> Column:
     return F.coalesce((F.trim(c) != "") & ~looks_like_json(c), F.lit(False))
 
 
+def _alternatives(pattern: str) -> list[str] | None:
+    """The words of a pattern that is nothing but ``(word|word|…)``."""
+    words = pattern.removeprefix("(").removesuffix(")").split("|")
+    return words if all(re.fullmatch(r"[\w -]+", w) for w in words) else None
+
+
+def matches(c: Column, pattern: str) -> Column:
+    """Regular-expression match; plain alternatives are searched as substrings,
+    which takes a fraction of the time on long texts."""
+    words = _alternatives(pattern)
+    if words is None:
+        return c.rlike(pattern)
+    return reduce(lambda a, b: a | b, [c.contains(w) for w in words])
+
+
 def classify(c: Column, rules: Sequence[tuple[str, str]], default: str) -> Column:
     """Category of the first (pattern, category) rule the lower-cased text matches."""
     key = F.lower(c)
     out = None
     for pattern, category in rules:
-        out = (F if out is None else out).when(key.rlike(pattern), category)
+        out = (F if out is None else out).when(matches(key, pattern), category)
     return out.otherwise(default) if out is not None else F.lit(default)
 
 

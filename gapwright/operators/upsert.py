@@ -4,7 +4,6 @@ and a change set to the new target, built from joins."""
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,14 +100,20 @@ def resync_bridge(bridge: DataFrame, entities: DataFrame, ids: DataFrame, key: s
     return bridge.join(wanted, key, "left_anti").unionByName(fresh)
 
 
-def backfill_bridge(
+def missing_bridge_rows(
     bridge: DataFrame, entities: DataFrame, exclude: Sequence[str] = (), key: str = "facility_id"
 ) -> DataFrame:
-    """Add bridge rows for entities that have none, excluded ids aside."""
+    """Bridge rows for entities that have none yet, excluded ids aside."""
     bare = entities.join(bridge.select(key), key, "left_anti")
     if exclude:
         bare = bare.filter(~F.col(key).isin(*exclude))
-    return bridge.unionByName(bridge_rows(bare, key))
+    return bridge_rows(bare, key)
+
+
+def backfill_bridge(
+    bridge: DataFrame, entities: DataFrame, exclude: Sequence[str] = (), key: str = "facility_id"
+) -> DataFrame:
+    return bridge.unionByName(missing_bridge_rows(bridge, entities, exclude, key))
 
 
 def last_edits(edits: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -248,6 +253,3 @@ def parent_children(parents: DataFrame, children: DataFrame, key: str, position:
     any size is spread over tasks."""
     return parents.join(children, key, "left").orderBy(key, position)
 
-
-def union_frames(frames: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

@@ -20,17 +20,18 @@ from gapwright.operators.reshape import stack_rows, union_all
 from gapwright.operators.upsert import (
     DISMISS_NOTE,
     apply_gap_status,
-    backfill_bridge,
     edits_to_overlay,
     insert_absent,
     last_edits,
     merge_gaps,
+    missing_bridge_rows,
     overlay,
     resync_bridge,
     upsert_corrections,
 )
 from gapwright.plans.curation import CORRECTED
 from gapwright.plans.vocabulary import map_unmapped_indicators, map_unmapped_labels
+from gapwright.session import settled
 
 
 @dataclass(frozen=True)
@@ -299,10 +300,14 @@ def open_gaps(gaps: DataFrame, gap_type: str | None = None) -> DataFrame:
 
 def dq_refresh(m: Model, prior: DataFrame, now: Column, t: Thresholds = Thresholds(), exclude: Sequence[str] = ()):
     """Whole refresh: map what is unmapped, backfill the bridge, then measure and
-    reconcile the gap list. Gives the new model, the metrics and the gaps."""
-    indicator_bridge = m.indicator_bridge.unionByName(map_unmapped_indicators(m.long, m.indicator_bridge))
-    mapping = m.mapping.unionByName(map_unmapped_labels(m.bridge, m.mapping))
-    bridge = backfill_bridge(m.bridge, m.facility, exclude)
+    reconcile the gap list. Gives the new model, the metrics and the gaps. Only
+    the added rows are settled, the tables they are added to are read as they are."""
+    indicators = settled(map_unmapped_indicators(m.long, m.indicator_bridge))
+    labels = settled(map_unmapped_labels(m.bridge, m.mapping))
+    rows = settled(missing_bridge_rows(m.bridge, m.facility, exclude))
+    indicator_bridge = m.indicator_bridge.unionByName(indicators)
+    mapping = m.mapping.unionByName(labels)
+    bridge = m.bridge.unionByName(rows)
     new = replace(m, indicator_bridge=indicator_bridge, mapping=mapping, bridge=bridge)
     return new, dq_metrics(new, now, t), merge_gaps(prior, dq_gaps(new), now)
 
@@ -419,7 +424,7 @@ def resolve_actions(m: Model, gaps: DataFrame, actions: DataFrame, now: Column)
     an indicator pair whether it is there, for a facility field its value; a new
     label keeps the category that was given first.
     """
-    routed = routed_actions(m, gaps, actions)
+    routed = settled(routed_actions(m, gaps, actions))
     good = routed.filter(F.col("error").isNull())
     rejected = routed.filter(F.col("error").isNotNull()).select("action_id", "gap_id", "fix_action", "error")
     latest = [F.desc("made_at"), F.desc("action_id")]

@@ -16,9 +16,10 @@ from gapwright.functions.fixed import (
 from gapwright.functions.keys import match_key, state_key
 from gapwright.functions.numbers import percent, stable_round
 from gapwright.functions.text import any_substring, nullify
-from gapwright.operators.aggregates import attach_stats, topk
+from gapwright.operators.aggregates import attach_stats, top_json, topk
 from gapwright.operators.joins import filter_category
 from gapwright.operators.reshape import union_all
+from gapwright.session import settled
 
 DEFAULT_BEDS = 25
 BEDS_PER_BURDEN = 5.0
@@ -145,8 +146,10 @@ def score(base: DataFrame) -> DataFrame:
 
     Maxima and the median are one one-row aggregate over the districts, used as
     a scalar subquery. The districts are a bounded set (administrative units),
-    so the exact percentile is safe here.
+    so the exact percentile is safe here. They are settled first: the facts
+    behind them are then aggregated once, not once more for the subquery.
     """
+    base = settled(base)
     households = F.col("households_surveyed")
     burden = F.col("demand_pct") / 100.0 * F.greatest(households, F.lit(1.0))
     burdened = base.withColumn("demand_burden", burden)
@@ -217,8 +220,6 @@ def gap_table(core: DataFrame, k: int = 25) -> DataFrame:
 def gap_summary(core: DataFrame, k: int = 10) -> DataFrame:
     """One row: districts, districts without supply, median demand, flagged
     districts and the ``k`` widest gaps as JSON."""
-    from gapwright.operators.aggregates import top_json
-
     top = top_json(
         core.select("district_name", "state_ut", "demand_pct", "category_facilities", "gap_score", "gap_flag"),
         [F.desc("gap_score"), F.asc("state_ut"), F.asc("district_name")],

@@ -1,5 +1,6 @@
 """Cleaning of the label vocabulary: the bridge, the label-category table and
-the facilities' label lists change together."""
+the facilities' label lists change together. Rename maps have one row per
+label and are settled before they are applied to the three tables."""
 
 from __future__ import annotations
 
@@ -23,6 +24,7 @@ from gapwright.operators.fuzzy import near_pairs
 from gapwright.operators.joins import without_match
 from gapwright.operators.reshape import distinct_union
 from gapwright.operators.upsert import apply_string_map, merge_update
+from gapwright.session import settled
 
 
 @dataclass(frozen=True)
@@ -71,7 +73,7 @@ def markup_map(labels: DataFrame) -> DataFrame:
 
 
 def clean_markup(v: Vocabulary) -> tuple[Vocabulary, DataFrame]:
-    renames = markup_map(all_labels(v.bridge, v.mapping))
+    renames = settled(markup_map(all_labels(v.bridge, v.mapping)))
     return v.rewritten(renames), renames
 
 
@@ -96,6 +98,7 @@ def typo_map(
         .join(usage, "raw", "left")
         .withColumn("n", F.coalesce("n", F.lit(0)))
     )
+    fixed = settled(fixed)  # one row per label; everything after is vocabulary-sized
     # spellings that became equal by a rule are seen with each of their counts
     spellings = fixed.select(F.col("fixed").alias("s"), "n").distinct()
     pairs = near_pairs(spellings, "s", "n")
@@ -123,12 +126,12 @@ def typo_map(
 
 
 def correct_typos(v: Vocabulary) -> tuple[Vocabulary, DataFrame]:
-    renames = typo_map(v.bridge, all_labels(v.bridge, v.mapping))
+    renames = settled(typo_map(v.bridge, all_labels(v.bridge, v.mapping)))
     return v.rewritten(renames), renames
 
 
 def normalize_case(v: Vocabulary) -> tuple[Vocabulary, DataFrame]:
-    renames = canonical_spelling(v.bridge.select("specialty"), v.mapping.select("specialties"))
+    renames = settled(canonical_spelling(v.bridge.select("specialty"), v.mapping.select("specialties")))
     return v.rewritten(renames), renames
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     # runtime re-planning: join choice by measured size, skewed partitions
@@ -42,3 +42,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
     return named
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Compute a frame once and go on from the stored result.
+
+    For results that are small next to their inputs and used several times:
+    district scores, rename maps, batches of actions. It is a reliable
+    checkpoint in the shared folder, so losing executors does no harm.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
