@@ -388,15 +388,17 @@ DERIVED["need"] = f"""
           FROM @long l JOIN @imap i ON i.indicator_key = l.indicator_key
           WHERE NOT is_suppressed AND l.indicator_key NOT IN {SIZES} AND indicator_value IS NOT NULL GROUP BY 1, 2, 3) x"""
 bind("demand_ranked", lambda s, d: exploration.demand_ranked(inputs.long(s, d), standin(s, d, "imap")), "SELECT * FROM @need")
-bind(
-    "rank_in_group",
-    lambda s, d: aggregates.rank_in_group(
-        standin(s, d, "supplier").withColumn("bal", F.when(c("s_acctbal") >= 0, c("s_acctbal"))), ["s_nationkey"],
-        [F.desc_nulls_last("bal"), F.asc("s_suppkey")], "rank",
-    ).select("s_suppkey", "s_nationkey", "bal", "rank"),
-    """SELECT s_suppkey, s_nationkey, bal, row_number() OVER (PARTITION BY s_nationkey ORDER BY bal DESC NULLS LAST, s_suppkey) AS rank
-       FROM (SELECT *, CASE WHEN s_acctbal >= 0 THEN s_acctbal END AS bal FROM @supplier) x""",
-)
+def priorities(s, d):
+    """Order priorities of each customer, urgent ones without a score."""
+    score = F.when(c("o_orderpriority") != "1-URGENT", F.max("o_totalprice"))
+    rows = standin(s, d, "orders").groupBy("o_custkey", "o_orderpriority").agg(score.alias("score"))
+    return aggregates.rank_in_group(rows, ["o_custkey"], [F.desc_nulls_last("score"), F.asc("o_orderpriority")], "rank")
+
+
+bind("rank_in_group", priorities, """
+    SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY score DESC NULLS LAST, o_orderpriority) AS rank FROM (
+        SELECT o_custkey, o_orderpriority, CASE WHEN o_orderpriority <> '1-URGENT' THEN max(o_totalprice) END AS score
+        FROM @orders GROUP BY 1, 2) x""")
 bind(
     "global_max_norm",
     lambda s, d: rounded(aggregates.normalize_by_max(standin(s, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "norm")),

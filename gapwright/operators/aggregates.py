@@ -90,11 +90,12 @@ def _middle(counts: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
     return agg.select(*by, (F.col("__a") + (F.col("__b") - F.col("__a")) * 0.5).alias("median"))
 
 
-def majority_vote(df: DataFrame, key: str, value: str) -> DataFrame:
-    """One value per key: most rows, ties to the smallest value. Rows are
-    counted per (key, value) first, so a hot key costs no more than its
-    number of distinct values."""
-    votes = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("__votes"))
+def majority_vote(df: DataFrame, key: str, value: str, weight: str | None = None) -> DataFrame:
+    """One value per key: most rows (or the largest sum of ``weight``), ties to
+    the smallest value. Votes are counted per (key, value) first, so a hot key
+    costs no more than its number of distinct values."""
+    counted = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    votes = df.groupBy(key, value).agg(counted.alias("__votes"))
     order = Window.partitionBy(key).orderBy(F.desc("__votes"), F.asc(value))
     return votes.withColumn("__rn", F.row_number().over(order)).filter("__rn = 1").select(key, value)
 

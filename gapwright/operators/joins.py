@@ -51,7 +51,8 @@ def with_match(df: DataFrame, other: DataFrame, on: Mapping[str, str] | Sequence
 
 def _matched(df: DataFrame, other: DataFrame, on, how: str) -> DataFrame:
     pairs = on if isinstance(on, Mapping) else {c: c for c in on}
-    keys = other.select(*[F.col(r).alias(f"__{i}") for i, r in enumerate(pairs.values())])
+    # a key repeated many times on the other side is sent once per task
+    keys = other.select(*[F.col(r).alias(f"__{i}") for i, r in enumerate(pairs.values())]).distinct()
     cond = [F.col(l) == F.col(f"__{i}") for i, l in enumerate(pairs)]
     return df.join(keys, cond, how)
 
@@ -102,11 +103,11 @@ def contains_any(
 
 def _contains_listed(df: DataFrame, text: str, values: DataFrame) -> DataFrame:
     listed = values.agg(F.collect_list("__needle")).scalar()
-    low = F.lower(F.trim(F.col(text)))
-    rows = df.withColumn("__low", low).withColumn("__values", listed)
-    return rows.filter(F.exists("__values", lambda v: F.contains(F.col("__low"), v))).drop(
-        "__low", "__values"
-    )
+    low = F.array(F.lower(F.trim(F.col(text))))
+    rows = df.withColumn("__values", listed)
+    # bound as a lambda variable the text is lower-cased once, not once per value
+    found = F.exists(low, lambda t: F.exists("__values", lambda v: F.contains(t, v)))
+    return rows.filter(found).drop("__values")
 
 
 def _contains_joined(df: DataFrame, text: str, values: DataFrame, key: str) -> DataFrame:

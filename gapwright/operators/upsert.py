@@ -68,7 +68,7 @@ def delete_where(df: DataFrame, predicate: Column | None = None, keys: DataFrame
     if predicate is not None:
         df = df.filter(~F.coalesce(predicate, F.lit(False)))
     if keys is not None:
-        df = df.join(keys, list(keys.columns), "left_anti")
+        df = df.join(keys.distinct(), list(keys.columns), "left_anti")
     return df
 
 
@@ -104,7 +104,7 @@ def missing_bridge_rows(
     bridge: DataFrame, entities: DataFrame, exclude: Sequence[str] = (), key: str = "facility_id"
 ) -> DataFrame:
     """Bridge rows for entities that have none yet, excluded ids aside."""
-    bare = entities.join(bridge.select(key), key, "left_anti")
+    bare = entities.join(bridge.select(key).distinct(), key, "left_anti")
     if exclude:
         bare = bare.filter(~F.col(key).isin(*exclude))
     return bridge_rows(bare, key)
@@ -249,7 +249,9 @@ def parent_summary(parents: DataFrame, children: DataFrame, key: str, order: Seq
 
 def parent_children(parents: DataFrame, children: DataFrame, key: str, position: str) -> DataFrame:
     """Each parent's children as ordered flat rows; a parent without children
-    gives one row. Rows, not one nested list per parent, so that a parent of
-    any size is spread over tasks."""
-    return parents.join(children, key, "left").orderBy(key, position)
-
+    gives one row. Rows, not one nested list per parent, and an inner join whose
+    crowded side Spark can split, so that a parent of any size is spread over
+    tasks."""
+    full = parents.join(children, key)
+    bare = parents.join(children.select(key).distinct(), key, "left_anti")
+    return full.unionByName(bare, allowMissingColumns=True).orderBy(key, position)

@@ -8,10 +8,9 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gapwright.functions.text import context_text, nullify
-from gapwright.operators.aggregates import label_list
+from gapwright.operators.aggregates import attach_stats, label_list
 
 
 def facility_context(name: Column, kind: Column, description: Column) -> Column:
@@ -26,35 +25,48 @@ def _words(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != ""))
 
 
-def by_token_overlap(contexts: DataFrame, labels: DataFrame, key: str) -> DataFrame:
-    """``key, label``: the label sharing the most words with the whole context,
-    ties to the smallest label; keys sharing no word are left out.
+def by_token_overlap(contexts: DataFrame, labels: DataFrame) -> DataFrame:
+    """Add ``inferred_label``: the label sharing the most words with the whole
+    ``context_text``, ties to the smallest label, NULL where none shares a word.
 
-    The default classifier: it needs no model. Words are matched by an equi
-    join; the label list is bounded (400), so a context word meets at most that
-    many rows, and hits are counted before anything is grouped by entity.
+    The default classifier: it needs no model. The label list is bounded, so it
+    goes to the rows as one scalar and each row is settled where it lies: no
+    word is exploded and no text is shuffled. The context's words are cut down
+    to those that labels use before labels are compared with them.
     """
-    tokens = labels.select("label", F.explode(_words(F.col("label"))).alias("word"))
-    vocabulary = tokens.select("word").distinct()
-    words = contexts.select(key, F.explode(_words(F.col("context_text"))).alias("word"))
-    useful = words.join(vocabulary, "word", "left_semi")
-    hits = useful.join(tokens, "word").groupBy(key, "label").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy(key).orderBy(F.desc("n"), F.asc("label"))
-    return hits.withColumn("__rn", F.row_number().over(order)).filter("__rn = 1").select(key, "label")
+    words = labels.select("label", _words(F.col("label")).alias("words"))
+    listed = words.agg(
+        F.collect_list(F.struct("label", "words")).alias("labels"),
+        F.array_distinct(F.flatten(F.collect_list("words"))).alias("used"),
+    )
+    rows = attach_stats(contexts, listed, "__l")
+    hit = F.array_intersect(F.col("__l.used"), _words(F.col("context_text")))
+
+    def best(words_hit: Column) -> Column:
+        scored = F.transform(
+            F.col("__l.labels"),
+            lambda x: F.struct((-F.size(F.array_intersect(x["words"], words_hit))).alias("n"), x["label"].alias("label")),
+        )
+        return F.array_min(scored)
+
+    # bound as a lambda variable the words are found once per row, not once per label
+    top = rows.withColumn("__best", F.transform(F.array(hit), best)[0])
+    return top.withColumn("inferred_label", F.when(F.col("__best.n") < 0, F.col("__best.label"))).drop("__l", "__best")
 
 
 def infer_labels(
     missing: DataFrame,
     labels: DataFrame,
     key: str,
-    classifier: Callable[[DataFrame, DataFrame, str], DataFrame] = by_token_overlap,
+    classifier: Callable[[DataFrame, DataFrame], DataFrame] = by_token_overlap,
     limit: int = 400,
 ) -> DataFrame:
     """``key, context_text, inferred_label`` for rows with ``context_text``.
-    ``labels`` has one text column; the first ``limit`` distinct ones are used."""
+    ``labels`` has one text column; the first ``limit`` distinct ones are used.
+    A classifier adds ``inferred_label`` to the rows; it may call a model through
+    ``classify_udf``."""
     listed = label_list(labels, labels.columns[0], limit).select(F.explode("labels").alias("label"))
-    found = classifier(missing, listed, key)
-    return missing.join(found, key, "left").select(key, "context_text", F.col("label").alias("inferred_label"))
+    return classifier(missing, listed).select(key, "context_text", "inferred_label")
 
 
 def corrections_from_labels(inferred: DataFrame, key: str, now: Column) -> DataFrame:

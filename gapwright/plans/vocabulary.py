@@ -41,16 +41,18 @@ class Vocabulary:
         a label keeps its majority category, label lists follow the bridge."""
         bridge = apply_string_map(self.bridge, "specialty", renames)
         votes = _relabelled(self.mapping, renames)
-        mapping = majority_vote(votes, "specialties", "category")
+        mapping = majority_vote(votes, "specialties", "category", "n")
         return Vocabulary(bridge, mapping, resync_lists(self.facility, bridge))
 
 
 def _relabelled(mapping: DataFrame, renames: DataFrame) -> DataFrame:
-    """Category rows under new labels; every row stays one vote."""
+    """``specialties, category, n``: category votes under the new labels. Equal
+    rows are counted before the join; each stays one vote."""
     rows = mapping.filter(is_label(F.col("specialties")))
+    counted = rows.groupBy(F.trim("specialties").alias("__old"), "category").agg(F.count(F.lit(1)).alias("n"))
     m = renames.select(F.col("raw").alias("__raw"), F.col("canonical").alias("__new"))
-    joined = rows.join(m, F.trim("specialties") == F.col("__raw"), "left")
-    return joined.select(F.coalesce("__new", F.trim("specialties")).alias("specialties"), "category")
+    joined = counted.join(m, F.col("__old") == F.col("__raw"), "left")
+    return joined.select(F.coalesce("__new", "__old").alias("specialties"), "category", "n")
 
 
 def resync_lists(facility: DataFrame, bridge: DataFrame) -> DataFrame:

@@ -16,6 +16,14 @@ def _swap_in(spark: SparkSession, target: str) -> None:
     spark.sql(f"ALTER TABLE {target}_next RENAME TO {target}")
 
 
+def replace_table(spark: SparkSession, target: str, df: DataFrame) -> DataFrame:
+    """Put a new content in place of a table that ``df`` may itself read, and
+    give the table as it is now. Frames read from the old content end with it."""
+    write_table(df, f"{target}_next")
+    _swap_in(spark, target)
+    return spark.table(target)
+
+
 def recover(spark: SparkSession, target: str, merge: Merge) -> None:
     """Finish what an interrupted run left: a swap that had begun, or a staging
     table that was built but not merged. Running it again changes nothing."""
