@@ -252,5 +252,5 @@ def anchor_row(facility: DataFrame, long: DataFrame, defaults: Mapping[str, obje
         "pincode": F.coalesce("__pin", F.lit(pincode)),
     }
     row = placed.select(*[given.get(c, F.lit(None)).cast(types[c]).alias(c) for c in facility.columns])
-    fresh = row.join(facility.select("facility_id"), "facility_id", "left_anti")
-    return facility.unionByName(fresh)
+    known = facility.filter(F.col("facility_id") == str(defaults["facility_id"])).limit(1)
+    return facility.unionByName(row.filter(known.agg(F.count(F.lit(1))).scalar() == 0))

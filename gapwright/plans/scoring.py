@@ -15,7 +15,7 @@ from gapwright.functions.fixed import (
 )
 from gapwright.functions.keys import match_key, state_key
 from gapwright.functions.numbers import percent, stable_round
-from gapwright.functions.text import any_substring, nullify
+from gapwright.functions.text import any_substring
 from gapwright.operators.aggregates import attach_stats, top_json, topk
 from gapwright.operators.joins import filter_category
 from gapwright.operators.reshape import union_all
@@ -73,7 +73,7 @@ def facility_categories(facility: DataFrame, bridge: DataFrame, mapping: DataFra
 
 
 def _placed(facility: DataFrame) -> DataFrame:
-    named = nullify(F.col("district_name"), ("",)).isNotNull() & nullify(F.col("state_ut"), ("",)).isNotNull()
+    named = (F.trim("district_name") != "") & (F.trim("state_ut") != "")
     return facility.filter(named).select(
         match_key(F.col("district_name")).alias("district_key"),
         match_key(F.col("state_ut")).alias("state_key"),
