@@ -396,7 +396,7 @@ def priorities(s, d):
 
 
 bind("rank_in_group", priorities, """
-    SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY score DESC NULLS LAST, o_orderpriority) AS rank FROM (
+    SELECT *, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY score DESC NULLS LAST, o_orderpriority) AS INTEGER) AS rank FROM (
         SELECT o_custkey, o_orderpriority, CASE WHEN o_orderpriority <> '1-URGENT' THEN max(o_totalprice) END AS score
         FROM @orders GROUP BY 1, 2) x""")
 bind(
@@ -407,7 +407,7 @@ bind(
 bind(
     "window_over_agg",
     lambda s, d: aggregates.rank_groups(standin(s, d, "part"), "p_type", "p_name", "rank"),
-    """SELECT p_name, p_type, count(*) AS n, row_number() OVER (PARTITION BY p_name ORDER BY count(*) DESC, p_type) AS rank FROM @part GROUP BY 1, 2""",
+    """SELECT p_name, p_type, count(*) AS n, CAST(row_number() OVER (PARTITION BY p_name ORDER BY count(*) DESC, p_type) AS INTEGER) AS rank FROM @part GROUP BY 1, 2""",
 )
 bind(
     "topk",

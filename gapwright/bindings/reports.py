@@ -267,7 +267,7 @@ bind(
 bind(
     "open_gap_summary",
     lambda s, d: quality.gap_counts(inputs.prior_gaps(s, d), ["gap_type", "severity"], only_open=True),
-    "SELECT gap_type, severity, count(*) AS gap_count FROM @prior WHERE status = 'open' GROUP BY 1, 2",
+    "SELECT gap_type, severity, count(*) AS open_gap_count FROM @prior WHERE status = 'open' GROUP BY 1, 2",
 )
 
 DERIVED["pin_one"] = """
@@ -328,7 +328,7 @@ bind("gap_core", lambda s, d: rounded(inputs.core(s, d).select(*scoring.GAP_TABL
 def summary(s, d):
     """The one-row summary with its JSON list taken apart into columns."""
     row = scoring.gap_summary(inputs.core(s, d))
-    items = F.from_json("top_high_gap_districts", "array<struct<district_name:string,gap_score:double,gap_flag:string>>")
+    items = F.from_json("top_10_high_gap_districts", "array<struct<district_name:string,gap_score:double,gap_flag:string>>")
     return row.select(*row.columns[:-1], F.posexplode(items).alias("place", "t")).select(
         *row.columns[:-1], "place", "t.district_name", "t.gap_score", "t.gap_flag"
     )

@@ -88,6 +88,7 @@ def classify_udf(fn: Callable[[str, Sequence[str]], str | None], labels: Sequenc
     return classified
 
 
+# Fixed value: the wording of the question.
 PROMPT_HEAD = (
     "You classify healthcare facilities into exactly one medical specialty.\n"
     "Pick the single best matching specialty from the allowed list.\n"
@@ -115,6 +116,28 @@ def parse_answer(answer: Column, labels: Column) -> Column:
     return F.nullif(F.coalesce(equal, inside, bare), F.lit(""))
 
 
+def suggest_labels(
+    missing: DataFrame,
+    labels: DataFrame,
+    key: str,
+    answer: Callable[[Column], Column],
+    classifier: Callable[[DataFrame, DataFrame], DataFrame] = by_token_overlap,
+    limit: int = 400,
+) -> DataFrame:
+    """``key, context_text, suggested_label, source``: the classifier's label, and
+    where it has none the label read from ``answer(prompt)``. ``answer`` maps a
+    prompt column to a text column, for instance a vectorised UDF that calls a
+    model; rows that are settled give it NULL."""
+    first = infer_labels(missing, labels, key, classifier, limit)
+    listed = attach_stats(first, label_list(labels, labels.columns[0], limit), "__l")
+    choices = F.col("__l.labels")
+    open_prompt = F.when(F.col("inferred_label").isNull(), prompt(F.col("context_text"), choices))
+    asked = listed.withColumn("__answer", answer(open_prompt))
+    label = F.coalesce("inferred_label", parse_answer(F.col("__answer"), choices))
+    source = F.when(F.col("inferred_label").isNotNull(), "classify").when(label.isNotNull(), "query")
+    return asked.select(key, "context_text", label.alias("suggested_label"), source.alias("source"))
+
+
 def parse_udf():
     """Vectorised twin of ``functions.numbers.suppressed_number``, kept to check
     that both give the same."""

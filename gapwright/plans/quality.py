@@ -287,7 +287,7 @@ def dq_counts(metrics: DataFrame, gaps: DataFrame) -> DataFrame:
 
 def gap_counts(gaps: DataFrame, by: Sequence[str], only_open: bool = False) -> DataFrame:
     rows = gaps.filter(F.col("status") == "open") if only_open else gaps
-    counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("gap_count"))
+    counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("open_gap_count" if only_open else "gap_count"))
     return counts.orderBy(by_ranking("severity", SEVERITIES), *by)
 
 

@@ -225,7 +225,7 @@ def gap_summary(core: DataFrame, k: int = 10) -> DataFrame:
         [F.desc("gap_score"), F.asc("state_ut"), F.asc("district_name")],
         k,
         ["district_name", "state_ut", "demand_pct", "category_facilities", "gap_score", "gap_flag"],
-        "top_high_gap_districts",
+        f"top_{k}_high_gap_districts",
     )
     totals = core.agg(
         F.count(F.lit(1)).alias("districts_analyzed"),
@@ -233,7 +233,7 @@ def gap_summary(core: DataFrame, k: int = 10) -> DataFrame:
         stable_round(F.percentile("demand_pct", 0.5), 2).alias("median_demand_pct"),
         F.count_if(F.col("gap_flag").isin("high_gap", "no_supply")).alias("districts_high_gap_or_no_supply"),
     )
-    return totals.withColumn("top_high_gap_districts", top.scalar())
+    return totals.withColumn(f"top_{k}_high_gap_districts", top.scalar())
 
 
 def centroids(postal: DataFrame, lat: tuple[float, float] = (6, 38), lon: tuple[float, float] = (68, 98)) -> DataFrame:

@@ -267,6 +267,17 @@ def test_token_overlap_picks_the_best_label(spark):
     assert {(r["k"], r["inferred_label"]) for r in rows} == {(1, "heart care"), (2, "skin care"), (3, None)}
 
 
+def test_suggestions_ask_only_where_the_classifier_has_none(spark):
+    missing = spark.createDataFrame([(1, "heart here"), (2, "nothing"), (3, "quiet")], "k int, context_text string")
+    labels = spark.createDataFrame([("heart care",), ("skin care",)], "label string")
+
+    def answer(prompt):
+        return F.when(prompt.endswith("nothing"), "```\nSKIN CARE\n```").when(prompt.endswith("here"), "wrong")
+
+    rows = inference.suggest_labels(missing, labels, "k", answer).collect()
+    assert {(r["k"], r["suggested_label"], r["source"]) for r in rows} == {(1, "heart care", "classify"), (2, "skin care", "query"), (3, None, None)}
+
+
 def test_demo_row_is_added_once(spark, model):
     once = curation.anchor_row(model.facility, model.long, {"facility_id": "demo"}, "737101")
     assert once.count() == 4 and once.filter("facility_id = 'demo'").first()["pincode"] == "500001"
