@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,7 +17,9 @@ SETTINGS = {
 }
 
 
-def local_session(cores: int = 8, partitions: int | None = None, memory: str = "8g") -> SparkSession:
+def local_session(
+    cores: int = 8, partitions: int | None = None, memory: str = "8g", settings: Mapping[str, str] | None = None
+) -> SparkSession:
     """Single-machine session for tests and measurements. On a cluster use the
     session given there; shuffle partitions are then set for its size."""
     builder = (
@@ -26,7 +29,7 @@ def local_session(cores: int = 8, partitions: int | None = None, memory: str = "
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
     )
-    for key, value in SETTINGS.items():
+    for key, value in {**SETTINGS, **(settings or {})}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -8,16 +8,17 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    from pyspark.sql import SparkSession
-
     from gapwright.session import local_session
 
     work = tmp_path_factory.mktemp("spark")
-    os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
-    SparkSession.builder.config("spark.sql.warehouse.dir", str(work / "warehouse")).config(
-        "spark.checkpoint.dir", str(work / "checkpoints")
+    session = local_session(
+        cores=4,
+        memory="4g",
+        settings={
+            "spark.sql.warehouse.dir": str(work / "warehouse"),
+            "spark.checkpoint.dir": str(work / "checkpoints"),
+        },
     )
-    session = local_session(cores=4, memory="4g")
     yield session
     session.stop()
 
