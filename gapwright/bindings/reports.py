@@ -525,15 +525,13 @@ bind("udf_parse", parsed_twice, f"""
            {VALUE_SQL} AS value, trim(births_csection_pct) = '*' AS suppressed FROM @wide""")
 TOPICS = ("nation_1 ", "nation_2 ", "machinery", "furniture")
 
-
-def first_named(text, labels):
-    return next((x for x in labels if x in text), None)
-
+# a lambda travels to the tasks by value, so they need not have this package
+FIRST_NAMED = lambda text, labels: next((x for x in labels if x in text), None)
 
 bind(
     "udf_classify",
     lambda s, d: standin(s, d, "raw").select(
-        "unique_id", inference.classify_udf(first_named, TOPICS)(F.lower("description")).alias("label")
+        "unique_id", inference.classify_udf(FIRST_NAMED, TOPICS)(F.lower("description")).alias("label")
     ),
     "SELECT unique_id, CASE " + " ".join(f"WHEN contains(lower(description), '{t}') THEN '{t}'" for t in TOPICS) + " END AS label FROM @raw",
 )
