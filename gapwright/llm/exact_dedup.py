@@ -23,9 +23,9 @@ def exact_dedup(
     narrow rows: rows are counted by length, lengths held once are done; the
     rest are counted by length and hash of the first ``prefix`` code points.
     Only rows in groups that survive both have their full text hashed
-    (SHA-256) in the second pass and are grouped by it. Texts never move: the
-    surviving groups come to the scan as a bitmap of fixed size, whose rare
-    false positives only hash some texts in vain.
+    (SHA-256) in the last pass and are grouped by it. Texts never move: what
+    survives comes to the next scan as a bitmap of fixed size, whose rare false
+    positives only look at some texts in vain.
 
     Of a group the row with most code points in the original text stays, then
     the smallest id (null ids last). Null text is an empty text; all empty
@@ -39,7 +39,9 @@ def exact_dedup(
     )
     narrow = scan.select("_len", "_head")
     lengths = narrow.groupBy("_len").count().where("count > 1").select("_len")
-    heads = narrow.join(lengths, "_len", "left_semi").groupBy("_len", "_head").count().where("count > 1")
+    shared = membership.bitmap(lengths.select(F.col("_len").cast("long").alias("_key")), "_key")
+    of_shared = membership.flagged(narrow.withColumn("_key", F.col("_len").cast("long")), "_key", shared, "_open").where("_open")
+    heads = of_shared.groupBy("_len", "_head").count().where("count > 1")
     survivors = membership.bitmap(heads.select(F.xxhash64("_len", "_head").alias("_key")), "_key")
     marked = membership.flagged(scan.withColumn("_key", F.xxhash64("_len", "_head")), "_key", survivors, "_open")
     rows = kept(

@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapwright.llm import exact_dedup, line_dedup, mixing
+from gapwright.llm import exact_dedup, line_dedup, main_text, mixing, quality
+from gapwright.llm.ship import ship
 from gapwright.llm.text import n_words, whole
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -32,9 +34,20 @@ def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.line_dedup(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return main_text.extract(pages).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, folder, "labels"))
+    return quality.scored(docs, model).drop("text")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_mix_sources, op7_exact_dedup, op8_line_dedup)
+    for f in (op1_mix_sources, op7_exact_dedup, op8_line_dedup, op9_main_text, op10_quality_rules)
 }
 
 ORACLE: dict[str, str] = {
