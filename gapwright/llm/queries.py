@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapwright.llm import exact_dedup, line_dedup, main_text, mixing, quality
+from gapwright.llm import exact_dedup, line_dedup, main_text, mixing, quality, simhash
 from gapwright.llm.ship import ship
 from gapwright.llm.text import n_words, whole
 
@@ -24,6 +24,11 @@ def op1_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_dedup(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return exact_dedup.exact_dedup(docs, carry={"text_sha256": F.sha2("_norm", 256)})
@@ -47,7 +52,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_mix_sources, op7_exact_dedup, op8_line_dedup, op9_main_text, op10_quality_rules)
+    for f in (op1_mix_sources, op3_simhash, op7_exact_dedup, op8_line_dedup, op9_main_text, op10_quality_rules)
 }
 
 ORACLE: dict[str, str] = {
