@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapwright.llm import exact_dedup, line_dedup, main_text, mixing, quality, simhash
+from gapwright.llm import exact_dedup, line_dedup, main_text, mixing, packing, quality, simhash, token_files
+from gapwright.llm.scratch import new_folder
 from gapwright.llm.ship import ship
 from gapwright.llm.text import n_words, whole
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -29,6 +33,16 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = new_folder(spark, "token-files")
+    token_files.write(table(spark, folder, "documents"), path, TOKENIZER)
+    return token_files.documents(spark, path)
+
+
+def op6_pack(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), TOKENIZER)
+
+
 def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return exact_dedup.exact_dedup(docs, carry={"text_sha256": F.sha2("_norm", 256)})
@@ -52,7 +66,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_mix_sources, op3_simhash, op7_exact_dedup, op8_line_dedup, op9_main_text, op10_quality_rules)
+    for f in (op1_mix_sources, op3_simhash, op5_token_files, op6_pack, op7_exact_dedup, op8_line_dedup, op9_main_text, op10_quality_rules)
 }
 
 ORACLE: dict[str, str] = {
