@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapwright.llm import exact_dedup, line_dedup, main_text, mixing, packing, quality, simhash, token_files
+from gapwright.llm import exact_dedup, line_dedup, main_text, mixing, packing, quality, simhash, token_files, warc
 from gapwright.llm.scratch import new_folder
 from gapwright.llm.ship import ship
 from gapwright.llm.text import n_words, whole
@@ -33,6 +33,12 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = new_folder(spark, "warc")
+    warc.write(table(spark, folder, "pages"), path)
+    return warc.pages(spark, path)
+
+
 def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = new_folder(spark, "token-files")
     token_files.write(table(spark, folder, "documents"), path, TOKENIZER)
@@ -66,7 +72,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_mix_sources, op3_simhash, op5_token_files, op6_pack, op7_exact_dedup, op8_line_dedup, op9_main_text, op10_quality_rules)
+    for f in (op1_mix_sources, op3_simhash, op4_warc, op5_token_files, op6_pack, op7_exact_dedup, op8_line_dedup, op9_main_text, op10_quality_rules)
 }
 
 ORACLE: dict[str, str] = {
@@ -96,6 +102,16 @@ ORACLE: dict[str, str] = {
           CAST(floor(place * ratio + {mixing.offset()!r}::DOUBLE) - floor((place - 1) * ratio + {mixing.offset()!r}::DOUBLE) AS BIGINT) AS copies,
           CAST(floor(place * ratio + {mixing.offset()!r}::DOUBLE) - floor((place - 1) * ratio + {mixing.offset()!r}::DOUBLE) AS BIGINT) * size AS taken
         FROM placed""",
+    "op4_warc": """
+        WITH payloads AS (
+          SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+        ), placed AS (
+          SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS last_id FROM payloads
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+          CASE WHEN last_id > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+          CASE WHEN last_id > page_id THEN last_id END AS refers_to
+        FROM placed""",
     "op7_exact_dedup": """
         WITH norm AS (
           SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS t FROM documents
