@@ -10,7 +10,8 @@ BITS = 1 << 24
 
 
 def bit_of(key: Column, bits: int = BITS) -> Column:
-    return F.pmod(key, F.lit(bits))
+    """From 1 on, as Spark's bitmap functions count."""
+    return F.pmod(key, F.lit(bits)) + 1
 
 
 def bitmap(keys: DataFrame, key: str, bits: int = BITS) -> DataFrame:

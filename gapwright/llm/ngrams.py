@@ -46,7 +46,7 @@ class Slices:
     gram_of: np.ndarray  # slice of each
 
 
-def read(slices: list[bytes]) -> Slices:
+def read(slices: list[bytes], characters: bool = True) -> Slices:
     n = len(slices)
     data = np.frombuffer(b" ".join([*slices, b""]), np.uint8)
     lengths = np.fromiter(map(len, slices), np.int64, n) + 1
@@ -71,7 +71,7 @@ def read(slices: list[bytes]) -> Slices:
         hashes = _mixed(np.add.reduceat(value, at))
     else:
         hashes = np.zeros(0, np.uint64)
-    if len(data) >= NGRAM:
+    if characters and len(data) >= NGRAM:
         gram = np.zeros(len(data) - NGRAM + 1, np.uint64)
         for k in range(NGRAM):
             gram = gram * _STEP + _BYTE[data[k : k + len(gram)]]
@@ -115,6 +115,14 @@ def repeated(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.bincount(of[covered], minlength=n)
 
 
+def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
+    """Of one of ``groups``: 64-bit hashes of each text's words."""
+    if len(texts) == 1:
+        return [np.concatenate([read([x], False).hashes for x in sliced(texts[0])])]
+    s = read(texts, False)
+    return np.split(s.hashes, np.cumsum(s.words)[:-1])
+
+
 def pair_buckets(hashes: np.ndarray) -> np.ndarray:
     return (_mixed(hashes[:-1] * _STEP + hashes[1:]) >> np.uint64(64 - BITS)).astype(np.int32)
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapwright.llm import exact_dedup, line_dedup, main_text, mixing, packing, quality, simhash, token_files, warc
+from gapwright.llm import exact_dedup, line_dedup, main_text, mixing, packing, quality, simhash, substring, token_files, warc
 from gapwright.llm.scratch import new_folder
 from gapwright.llm.ship import ship
 from gapwright.llm.text import n_words, whole
@@ -28,6 +28,11 @@ def op1_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = substring.substring_dedup(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_dedup(table(spark, folder, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -72,7 +77,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_mix_sources, op3_simhash, op4_warc, op5_token_files, op6_pack, op7_exact_dedup, op8_line_dedup, op9_main_text, op10_quality_rules)
+    for f in (op1_mix_sources, op2_substring_dedup, op3_simhash, op4_warc, op5_token_files, op6_pack, op7_exact_dedup, op8_line_dedup, op9_main_text, op10_quality_rules)
 }
 
 ORACLE: dict[str, str] = {
@@ -102,6 +107,22 @@ ORACLE: dict[str, str] = {
           CAST(floor(place * ratio + {mixing.offset()!r}::DOUBLE) - floor((place - 1) * ratio + {mixing.offset()!r}::DOUBLE) AS BIGINT) AS copies,
           CAST(floor(place * ratio + {mixing.offset()!r}::DOUBLE) - floor((place - 1) * ratio + {mixing.offset()!r}::DOUBLE) AS BIGINT) * size AS taken
         FROM placed""",
+    "op2_substring_dedup": """
+        WITH listed AS (
+          SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+        ), windows AS (
+          SELECT doc_id, unnest(range(1, len(words) - 48)) AS p, words FROM listed WHERE len(words) >= 50
+        ), hashed AS (SELECT doc_id, p, md5(array_to_string(words[p:p + 49], ' ')) AS h FROM windows
+        ), firsts AS (SELECT h, min(doc_id) AS f FROM hashed GROUP BY h HAVING min(doc_id) < max(doc_id)
+        ), gone AS (
+          SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS p FROM hashed JOIN firsts USING (h) WHERE f < doc_id
+        ), placed AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM listed
+        ), stays AS (
+          SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM placed ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed,
+          sha256(coalesce(t, '')) AS kept_sha256
+        FROM listed LEFT JOIN stays USING (doc_id)""",
     "op4_warc": """
         WITH payloads AS (
           SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
