@@ -63,9 +63,10 @@ def mix(
     partitions, so no source has to fit in a task. Sources with null names are
     one source, ordered last. Empty documents take part; a source of nothing
     but empty documents has target 0 and gives no copies. Repeated rows are
-    documents of their own. An empty table gives no rows.
+    documents of their own. An empty table gives no rows. Other columns pass
+    through; those named like a result are replaced.
     """
-    rows = ranked(docs, [source_col], [size_col, id_col], "_rank")
+    rows = ranked(docs.drop("source_size", "target", "copies", "taken"), [source_col], [size_col, id_col], "_rank")
     sizes = kept(rows.groupBy(F.col(source_col).alias("source")).agg(F.sum(size_col).alias("source_size")), "sizes")
     plan = targets(sizes, weights, share, cap).withColumnRenamed("source", "_source")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
