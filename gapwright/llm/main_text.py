@@ -32,6 +32,9 @@ MARKED = re.compile(
     r"subscribe|signup|share|sharing|social|comment|comments|replies|respond|disqus|related|breadcrumb|breadcrumbs|"
     r"pagination|pager|toolbar|search|login|skip)(?:$|[\s_-])"
 )
+# classes that say what an element has or lacks, not what it is
+SAYS = re.compile(r"(?<!\S)(?:no|has|with|without|is)[-_]\S+")
+REMARK = re.compile(r"(?<!\S)comment(?![^\s_-])")
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 
 TOKEN = re.compile(
@@ -152,7 +155,7 @@ class Page:
             if not off and name not in ("body", "main"):
                 off = (
                     (name in ASIDE and not (name == "header" and "article" in names))
-                    or (name != "article" or "comment" in classes) and bool(MARKED.search(classes) or MARKED.search(found.get("id", "").lower()))
+                    or bool(REMARK.search(classes) if name == "article" else MARKED.search(SAYS.sub("", classes)) or MARKED.search(found.get("id", "").lower()))
                     or found.get("role", "").lower() in ROLES
                     or "hidden" in found
                     or found.get("aria-hidden") == "true"

@@ -17,7 +17,8 @@ from gapwright.llm.tokens import encoder
 
 CAPACITY = 1024
 END = 2
-STEPS = 300  # of the least-squares fit
+STEPS = 200  # of the least-squares fit
+WEIGHT = 2  # power of the length in the fit
 
 Pattern = tuple[tuple[int, ...], int]  # lengths, largest first, and how often
 
@@ -38,14 +39,16 @@ def patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def fit(counts: np.ndarray, found: np.ndarray, steps: int = STEPS) -> np.ndarray:
-    """Repeats x >= 0 of the patterns with least squares ``|A x - counts|``, by
-    multiplicative updates; row p of ``found`` lists what column p of A holds.
-    ``counts[0]`` stands for no length and is left out."""
+    """Repeats x >= 0 of the patterns with least squares ``|W (A x - counts)|``,
+    by multiplicative updates; row p of ``found`` lists what column p of A
+    holds. W weighs long lengths most: they find the fewest partners, and what
+    is short fits anywhere. ``counts[0]`` stands for no length."""
     held = found > 0
     size = len(counts)
+    weight = (np.arange(size) / size) ** WEIGHT
 
     def up(v: np.ndarray) -> np.ndarray:
-        return (v[found] * held).sum(axis=1)
+        return ((v * weight)[found] * held).sum(axis=1)
 
     def down(x: np.ndarray) -> np.ndarray:
         return np.bincount(found.ravel(), weights=np.repeat(x, found.shape[1]), minlength=size) * (np.arange(size) > 0)
@@ -96,16 +99,21 @@ def residual(counts: np.ndarray, capacity: int) -> list[Pattern]:
 
 def plan(counts: np.ndarray, capacity: int) -> list[Pattern]:
     """Patterns and how often each is used, so that they hold exactly
-    ``counts[n]`` pieces of each length n."""
+    ``counts[n]`` pieces of each length n: a fit of the patterns of one length,
+    of two and of three, each rounded and cut down to what there is, then best
+    fit of the rest."""
     left = counts.copy()
     left[0] = 0
-    found = patterns(np.flatnonzero(left), capacity)
     out: list[Pattern] = []
-    if len(found):
-        repeats = np.rint(fit(left, found)).astype(np.int64)
-        for p in np.argsort(-repeats, kind="stable"):
-            if repeats[p] < 1:
-                break
+    for documents in (1, 2, 3):
+        found = patterns(np.flatnonzero(left), capacity)
+        found = found[(found > 0).sum(axis=1) == documents]
+        if not len(found):
+            continue
+        # rounded as a running total, so that many small repeats are not all lost
+        repeats = np.diff(np.floor(np.cumsum(fit(left, found)) + 0.5), prepend=0).astype(np.int64)
+        used = np.flatnonzero(repeats > 0)
+        for p in used[np.lexsort((-repeats[used], -found[used, 0]))]:
             lengths, each = np.unique(found[p][found[p] > 0], return_counts=True)
             n = int(min(repeats[p], (left[lengths] // each).min()))
             if n > 0:
@@ -138,8 +146,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end: int, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoded, tail = encoder(tokenizer), end.to_bytes(4, "little")
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 out: list[tuple] = []
                 for doc, ids in zip(part["_id"].to_pylist(), encoded(part["_text"].to_pylist()), strict=True):
                     data = memoryview(ids + tail)
@@ -162,9 +170,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
     most ``capacity`` tokens and start at offset 0 without gaps.
 
     The histogram of piece lengths, at most ``capacity`` numbers, goes to the
-    driver. There all patterns of one to three lengths that fill a sequence
-    are listed, their repeats fitted to the histogram by non-negative least
-    squares and rounded, and what is left packed by best fit. Pieces get their
+    driver. There all patterns of one, two and three lengths that fill a
+    sequence are listed, their repeats fitted to the histogram by non-negative
+    least squares and rounded, and what is left packed by best fit. Pieces get their
     place by length and rank within it, from a plan whose size is bounded by
     the number of patterns. Ranks come from range partitions, so a length that
     holds most pieces lies in many tasks.
