@@ -297,17 +297,17 @@ bind("scenario_duplicate", duplicated_rows, """
 
 def summarised(s, d):
     parents = standin(s, d, "parents")
-    children = standin(s, d, "children").filter(c("sort_order") > 3)
+    children = standin(s, d, "children")
     return upsert.parent_summary(parents, children, "conv_id", [F.desc("conv_id")])
 
 
 bind("scenario_summary", summarised, """
-    SELECT p.*, (SELECT count(*) FROM @children c WHERE c.conv_id = p.conv_id AND sort_order > 3) AS child_count FROM @parents p""")
+    SELECT p.*, (SELECT count(*) FROM @children c WHERE c.conv_id = p.conv_id) AS child_count FROM @parents p""")
 bind(
     "scenario_children",
-    lambda s, d: upsert.parent_children(standin(s, d, "parents"), standin(s, d, "children").filter(c("sort_order") > 3), "conv_id", "sort_order"),
+    lambda s, d: upsert.parent_children(standin(s, d, "parents"), standin(s, d, "children"), "conv_id", "sort_order"),
     """SELECT p.conv_id, p.name, p.description, c.sort_order, c.item FROM @parents p
-       LEFT JOIN (SELECT * FROM @children WHERE sort_order > 3) c ON c.conv_id = p.conv_id""",
+       LEFT JOIN @children c ON c.conv_id = p.conv_id""",
 )
 
 

@@ -327,7 +327,7 @@ bind(
         "doc_id", text.label_fallback(F.when(c("lang") == "en", F.lit(" null ")).when(c("lang") == "de", c("source")), c("text"), c("doc_id").cast("string")).alias("label")
     ),
     """SELECT doc_id, CASE WHEN lang = 'de' THEN source
-              ELSE coalesce(nullif(trim(left(trim(text), 120)), ''), CAST(doc_id AS VARCHAR)) END AS label FROM @unlabelled""",
+              ELSE coalesce(nullif(trim(text), ''), CAST(doc_id AS VARCHAR)) END AS label FROM @unlabelled""",
 )
 NEEDLES = ["thing", "onth", "eaux", "ción", "ung"]
 bind(

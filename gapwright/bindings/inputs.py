@@ -184,7 +184,7 @@ def gaps_sql(facility: str, bridge: str = "@bridge", mapping: str = "@mapping",
         FROM {keys} k WHERE indicator_key NOT IN (SELECT indicator_key FROM {imap})
         UNION ALL
         SELECT 'facility_without_specialty', 'warn', 'facility', f.facility_id,
-               coalesce(nullif(nullif(trim(facility_name), ''), 'null'), nullif(left(trim(description), 120), ''), f.facility_id),
+               coalesce(nullif(nullif(trim(facility_name), ''), 'null'), nullif(trim(description), ''), f.facility_id),
                'specialties_raw', coalesce(specialties_raw, ''),
                'Use AI to infer specialty from facility name and description, or pick manually', 'update_facility_field'
         FROM {facility} f LEFT JOIN @descriptions d ON d.facility_id = f.facility_id

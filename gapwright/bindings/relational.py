@@ -108,7 +108,7 @@ def colour_words(s, d):
 
 bind(
     "contains_join",
-    lambda s, d: joins.contains_any(standin(s, d, "documents"), "text", colour_words(s, d), "word", "doc_id").select("doc_id", "source"),
+    lambda s, d: joins.contains_any(standin(s, d, "documents"), "text", colour_words(s, d), "word").select("doc_id", "source"),
     """SELECT doc_id, source FROM @documents d WHERE EXISTS (
            SELECT 1 FROM (SELECT DISTINCT string_split(p_name, ' ')[1] AS w FROM @part) p WHERE contains(lower(d.text), w))""",
 )
@@ -188,13 +188,13 @@ bind(
 
 bind(
     "facilities_by_state",
-    lambda s, d: aggregates.count_by(standin(s, d, "facility"), F.coalesce("state_ut", "state_ut_raw"), "state", "facility_count", 15),
-    "SELECT coalesce(state_ut, state_ut_raw) AS state, count(*) AS facility_count FROM @facility GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15",
+    lambda s, d: aggregates.count_by(standin(s, d, "facility"), F.coalesce("state_ut", "state_ut_raw"), "state", "facility_count"),
+    "SELECT coalesce(state_ut, state_ut_raw) AS state, count(*) AS facility_count FROM @facility GROUP BY 1 ORDER BY 2 DESC, 1",
 )
 bind(
     "facilities_by_type",
-    lambda s, d: aggregates.count_by(standin(s, d, "facility"), c("facility_type"), "facility_type", "facility_count", 10),
-    "SELECT facility_type, count(*) AS facility_count FROM @facility WHERE facility_type IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
+    lambda s, d: aggregates.count_by(standin(s, d, "facility"), c("facility_type"), "facility_type", "facility_count"),
+    "SELECT facility_type, count(*) AS facility_count FROM @facility WHERE facility_type IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1",
 )
 bind(
     "group_count",
@@ -332,7 +332,7 @@ bind("top_frequency", lambda s, d: exploration.top_frequency(ranked(s, d)), f"""
 bind("rollup_state", lambda s, d: exploration.rollup_state(ranked(s, d)), f"""
     SELECT state_ut, category, count(DISTINCT district_name) AS district_count, {r('avg(avg_demand_pct)', 2)} AS avg_demand_pct,
            {r('max(avg_demand_pct)', 2)} AS max_district_avg_demand_pct FROM @ranked GROUP BY 1, 2""")
-TOP_LABEL = f"left(category, 28) || ' (' || {r('avg_demand_pct', 1)} || '%)'"
+TOP_LABEL = f"category || ' (' || {r('avg_demand_pct', 1)} || '%)'"
 bind("pivot_top3", lambda s, d: exploration.top_categories(ranked(s, d)), f"""
     SELECT state_ut, district_name, min({TOP_LABEL}) FILTER (category_rank_in_district = 1) AS top_1,
            min({TOP_LABEL}) FILTER (category_rank_in_district = 2) AS top_2, min({TOP_LABEL}) FILTER (category_rank_in_district = 3) AS top_3
@@ -426,7 +426,7 @@ bind(
     "ordered_labels",
     lambda s, d: aggregates.label_list(standin(s, d, "dirty_label"), "label").select(F.array_join("labels", "|").alias("labels")),
     f"""SELECT string_agg(x, '|' ORDER BY x) AS labels FROM (
-            SELECT DISTINCT trim(label) AS x FROM @dirty_label WHERE {is_label('label')} ORDER BY 1 LIMIT 400) l""",
+            SELECT DISTINCT trim(label) AS x FROM @dirty_label WHERE {is_label('label')} ORDER BY 1) l""",
 )
 bind("district_options", lambda s, d: views.district_options(inputs.long(s, d)), "SELECT DISTINCT district_id AS district_key, district_name, state_ut FROM @long")
 bind("category_options", lambda s, d: views.category_options(inputs.mapping(s, d)), "SELECT DISTINCT category AS specialty_category FROM @mapping")

@@ -375,7 +375,7 @@ bind(
 bind("mapping_view", lambda s, d: views.mapping_view(standin(s, d, "bridge"), standin(s, d, "facility"), inputs.mapping(s, d)), """
     SELECT b.facility_id, f.facility_name, b.specialty, m.category AS specialty_category FROM @bridge b
     LEFT JOIN @facility f ON f.facility_id = b.facility_id LEFT JOIN @mapping m ON m.specialties = b.specialty
-    ORDER BY f.facility_name NULLS LAST, b.specialty, b.facility_id LIMIT 500""")
+    ORDER BY f.facility_name NULLS LAST, b.specialty, b.facility_id""")
 
 
 def all_details(s, d):
@@ -476,7 +476,7 @@ def inferred(s, d):
 
 WORDS = "SELECT DISTINCT {k}, unnest(regexp_split_to_array(lower({x}), '[^a-z0-9]+')) AS w FROM {t}"
 DERIVED["doc_context"] = f"SELECT doc_id, {cleaning.CONTEXT_SQL.format('source', 'lang', 'text')} AS x FROM @unlabelled"
-DERIVED["doc_label"] = "SELECT DISTINCT source || ' ' || lang AS label FROM @documents ORDER BY 1 LIMIT 400"
+DERIVED["doc_label"] = "SELECT DISTINCT source || ' ' || lang AS label FROM @documents"
 DERIVED["label_hit"] = f"""
     SELECT c.doc_id, l.label, row_number() OVER (PARTITION BY c.doc_id ORDER BY count(*) DESC, l.label) AS rn
     FROM ({WORDS.format(k='doc_id', x='x', t='@doc_context')}) c JOIN ({WORDS.format(k='label', x='label', t='@doc_label')}) l ON l.w = c.w
@@ -501,7 +501,7 @@ def written_back(s, d):
 DERIVED["bare"] = f"""
     SELECT f.facility_id, {cleaning.CONTEXT_SQL.format('facility_name', 'facility_type', 'description')} AS x FROM @facility f
     LEFT JOIN @descriptions d ON d.facility_id = f.facility_id WHERE f.facility_id NOT IN (SELECT facility_id FROM @bridge)"""
-DERIVED["nation_label"] = "SELECT DISTINCT lower(n_name) || ' clinic' AS label FROM @nation ORDER BY 1 LIMIT 400"
+DERIVED["nation_label"] = "SELECT DISTINCT lower(n_name) || ' clinic' AS label FROM @nation"
 bind("inference_writeback", written_back, f"""
     SELECT f.facility_id, coalesce('["' || h.label || '"]', f.specialties_raw) AS specialties_raw FROM @facility f LEFT JOIN (
         SELECT c.facility_id, l.label, row_number() OVER (PARTITION BY c.facility_id ORDER BY count(*) DESC, l.label) AS rn
@@ -547,7 +547,7 @@ def asked(s, d):
     )
 
 
-PROMPT_SQL = "'" + inference.PROMPT_HEAD.replace("\n", "' || chr(10) || '") + "' || chr(10) || 'src1 en, src1, src2 de' || chr(10) || chr(10) || 'Facility information:' || chr(10) || x"
+PROMPT_SQL = "'" + inference.PROMPT_HEAD.replace("\n", "' || chr(10) || '") + "' || chr(10) || 'src1 en, src1, src2 de' || chr(10) || chr(10) || '" + inference.PROMPT_RECORD + "' || chr(10) || x"
 bind("udf_query", asked, f"""
     SELECT doc_id, md5({PROMPT_SQL}) AS prompt_md5, CASE WHEN doc_id % 4 = 1 THEN 'src1' ELSE 'It is SRC' || (doc_id % 4) END AS label FROM @doc_context""")
 

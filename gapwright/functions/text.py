@@ -114,11 +114,11 @@ def normalize_quotes(c: Column) -> Column:
     return F.regexp_replace(F.trim(c), "’", "'")
 
 
-def label_fallback(name: Column, description: Column, key: Column, length: int = 120) -> Column:
-    """First usable of: name, leading part of the description, the key itself."""
+def label_fallback(name: Column, description: Column, key: Column) -> Column:
+    """First usable of: name, description, the key itself."""
     return F.coalesce(
         nullify(name),
-        nullify(F.left(F.trim(description), F.lit(length)), tokens=("",)),
+        nullify(F.trim(description), tokens=("",)),
         key,
     )
 

@@ -180,12 +180,15 @@ def options(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(*cols).distinct().orderBy(*cols)
 
 
-def label_list(df: DataFrame, col: str, limit: int = 400) -> DataFrame:
-    """One row holding the first ``limit`` distinct labels in order."""
-    label = F.trim(F.col(col)).alias("label")
-    distinct = df.filter(is_label(F.col(col))).select(label).distinct()
-    first = distinct.orderBy("label").limit(limit)
-    return first.agg(F.array_sort(F.collect_list("label")).alias("labels"))
+def label_list(df: DataFrame, col: str) -> DataFrame:
+    """One row holding the distinct labels in order: the list that a question
+    or a choice is made from. Operators over many rows use ``labels`` instead."""
+    return labels(df, col).agg(F.array_sort(F.collect_list("label")).alias("labels"))
+
+
+def labels(df: DataFrame, col: str) -> DataFrame:
+    """Distinct trimmed labels, one per row."""
+    return df.filter(is_label(F.col(col))).select(F.trim(F.col(col)).alias("label")).distinct()
 
 
 def top_json(df: DataFrame, order: Sequence[Column], k: int, cols: Sequence[str], out: str) -> DataFrame:

@@ -84,46 +84,54 @@ def filter_category(df: DataFrame, col: str, category: str) -> DataFrame:
     return df if category == "ALL" else df.filter(F.col(col) == category)
 
 
-def contains_any(
-    df: DataFrame, text: str, dim: DataFrame, value: str, key: str, small: int = 500
-) -> DataFrame:
+# lengths of the leading pieces of values that texts are searched by
+PIECES = (12, 6, 3, 2, 1)
+
+
+def contains_any(df: DataFrame, text: str, dim: DataFrame, value: str, small: int = 500) -> DataFrame:
     """Rows whose lower-cased text contains any dimension value as a substring.
 
-    The number of values is checked first. Up to ``small`` of them go to the
-    tasks as one array and each text is searched where it lies. Beyond that,
-    texts and values are brought together by equal pieces of text, and only
-    those pairs are searched. Both search the whole text and give the same rows.
+    Up to ``small`` values go to the tasks as one array and each text is
+    searched where it lies; the array is cut off beyond, so its size is bounded.
+    With more values, different texts meet values by equal leading pieces, each
+    value by the longest of ``PIECES`` it has, and a text counts if it contains
+    a value it meets. Which way is taken is decided when the query runs; both
+    look at the text alone and give the same rows, with repeats and nulls of
+    other columns as they are.
     """
     needle = F.lower(F.trim(F.col(value)))
     values = dim.select(needle.alias("__needle")).filter(F.col("__needle") != "").distinct()
-    if values.limit(small + 1).count() <= small:
-        return _contains_listed(df, text, values)
-    return _contains_joined(df, text, values, key)
-
-
-def _contains_listed(df: DataFrame, text: str, values: DataFrame) -> DataFrame:
-    listed = values.agg(F.collect_list("__needle")).scalar()
-    low = F.array(F.lower(F.trim(F.col(text))))
+    listed = values.limit(small + 1).agg(F.collect_list("__needle")).scalar()
     rows = df.withColumn("__values", listed)
+    few = F.size("__values") <= small
+    low = F.lower(F.trim(F.col(text)))
     # bound as a lambda variable the text is lower-cased once, not once per value
-    found = F.exists(low, lambda t: F.exists("__values", lambda v: F.contains(t, v)))
-    return rows.filter(found).drop("__values")
-
-
-def _contains_joined(df: DataFrame, text: str, values: DataFrame, key: str) -> DataFrame:
-    # every text containing a value contains the value's first g characters
-    g = values.agg(F.least(F.min(F.length("__needle")), F.lit(12))).scalar()
-    anchors = values.withColumn("__g", g).select("__needle", F.expr("left(__needle, __g)").alias("__piece"))
-    pieces = F.expr(
-        "CASE WHEN length(__low) >= __g THEN array_distinct(transform("
-        "sequence(1, length(__low) - __g + 1), i -> substring(__low, i, __g))) ELSE array() END"
+    found = F.exists(F.array(low), lambda t: F.exists("__values", lambda v: F.contains(t, v)))
+    near = rows.filter(few & found).drop("__values")
+    # no row passes here unless there are many values
+    many = rows.filter(~few).drop("__values")
+    hits = _texts_with(many.select(low.alias("__low")).filter("__low IS NOT NULL").distinct(), values)
+    return near.unionByName(many.join(hits, F.md5(low) == F.col("__hash"), "left_semi"))
+
+
+def _texts_with(texts: DataFrame, values: DataFrame) -> DataFrame:
+    """``__hash`` of the texts that contain a value."""
+    size = F.coalesce(*[F.when(F.length("__needle") >= n, F.lit(n)) for n in PIECES])
+    anchors = values.withColumn("__n", size).select("__needle", F.expr("left(__needle, __n)").alias("__piece"))
+    keyed = texts.select(F.md5("__low").alias("__hash"), "__low")
+    cut = F.array_distinct(F.flatten(F.array(*[_pieces(n) for n in PIECES])))
+    pairs = keyed.select("__hash", F.explode(cut).alias("__piece")).join(anchors, "__piece")
+    short = pairs.filter(F.col("__piece") == F.col("__needle")).select("__hash").distinct()
+    long = pairs.filter(F.col("__piece") != F.col("__needle")).select("__hash", "__needle").distinct()
+    held = keyed.join(long, "__hash").filter(F.contains("__low", "__needle")).select("__hash")
+    return short.unionByName(held).distinct()
+
+
+def _pieces(n: int) -> Column:
+    places = F.sequence(F.lit(1), F.length("__low") - n + 1)
+    return F.when(F.length("__low") >= n, F.transform(places, lambda i: F.substring(F.col("__low"), i, F.lit(n)))).otherwise(
+        F.array().cast("array<string>")
     )
-    low = F.lower(F.trim(F.col(text)))
-    texts = df.select(F.col(key).alias("__key"), low.alias("__low"))
-    cut = texts.withColumn("__g", g).select("__key", F.explode(pieces).alias("__piece"))
-    pairs = cut.join(anchors, "__piece").select("__key", "__needle").distinct()
-    hits = texts.join(pairs, "__key").filter(F.contains("__low", "__needle")).select("__key")
-    return df.join(hits, F.col(key) == F.col("__key"), "left_semi")
 
 
 def compare(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gapwright.functions.text import context_text, nullify
 from gapwright.operators.aggregates import attach_stats, label_list
+from gapwright.operators.aggregates import labels as distinct_labels
 
 
 def facility_context(name: Column, kind: Column, description: Column) -> Column:
@@ -29,29 +30,21 @@ def by_token_overlap(contexts: DataFrame, labels: DataFrame) -> DataFrame:
     """Add ``inferred_label``: the label sharing the most words with the whole
     ``context_text``, ties to the smallest label, NULL where none shares a word.
 
-    The default classifier: it needs no model. The label list is bounded, so it
-    goes to the rows as one scalar and each row is settled where it lies: no
-    word is exploded and no text is shuffled. The context's words are cut down
-    to those that labels use before labels are compared with them.
-    """
-    words = labels.select("label", _words(F.col("label")).alias("words"))
-    listed = words.agg(
-        F.collect_list(F.struct("label", "words")).alias("labels"),
-        F.array_distinct(F.flatten(F.collect_list("words"))).alias("used"),
-    )
-    rows = attach_stats(contexts, listed, "__l")
-    hit = F.array_intersect(F.col("__l.used"), _words(F.col("context_text")))
-
-    def best(words_hit: Column) -> Column:
-        scored = F.transform(
-            F.col("__l.labels"),
-            lambda x: F.struct((-F.size(F.array_intersect(x["words"], words_hit))).alias("n"), x["label"].alias("label")),
-        )
-        return F.array_min(scored)
-
-    # bound as a lambda variable the words are found once per row, not once per label
-    top = rows.withColumn("__best", F.transform(F.array(hit), best)[0])
-    return top.withColumn("inferred_label", F.when(F.col("__best.n") < 0, F.col("__best.label"))).drop("__l", "__best")
+    The default classifier: it needs no model, and there may be any number of
+    labels. Words of different contexts are cut down to those that labels use.
+    Contexts with the same words left have the same label, so each such set is
+    matched once: its words meet the labels' in an equi join, shared words are
+    counted per label, and the best label goes back to the contexts."""
+    used = labels.select("label", F.explode(_words(F.col("label"))).alias("word"))
+    texts = contexts.select("context_text").filter("context_text IS NOT NULL").distinct()
+    words = texts.select(F.md5("context_text").alias("__text"), F.explode(_words(F.col("context_text"))).alias("word"))
+    hits = words.join(used.select("word").distinct(), "word", "left_semi")
+    sets = hits.groupBy("__text").agg(F.array_sort(F.collect_set("word")).alias("__set"))
+    shared = sets.select("__set").distinct().select("__set", F.explode("__set").alias("word")).join(used, "word")
+    counted = shared.groupBy("__set", "label").agg(F.count(F.lit(1)).alias("__n"))
+    best = counted.groupBy("__set").agg(F.min(F.struct(-F.col("__n"), "label"))["label"].alias("inferred_label"))
+    found = sets.join(best, "__set").select("__text", "inferred_label")
+    return contexts.join(found, F.md5("context_text") == F.col("__text"), "left").drop("__text")
 
 
 def infer_labels(
@@ -59,14 +52,12 @@ def infer_labels(
     labels: DataFrame,
     key: str,
     classifier: Callable[[DataFrame, DataFrame], DataFrame] = by_token_overlap,
-    limit: int = 400,
 ) -> DataFrame:
     """``key, context_text, inferred_label`` for rows with ``context_text``.
-    ``labels`` has one text column; the first ``limit`` distinct ones are used.
-    A classifier adds ``inferred_label`` to the rows; it may call a model through
+    ``labels`` has one text column; all its distinct labels are candidates. A
+    classifier adds ``inferred_label`` to the rows; it may call a model through
     ``classify_udf``."""
-    listed = label_list(labels, labels.columns[0], limit).select(F.explode("labels").alias("label"))
-    return classifier(missing, listed).select(key, "context_text", "inferred_label")
+    return classifier(missing, distinct_labels(labels, labels.columns[0])).select(key, "context_text", "inferred_label")
 
 
 def corrections_from_labels(inferred: DataFrame, key: str, now: Column) -> DataFrame:
@@ -88,19 +79,18 @@ def classify_udf(fn: Callable[[str, Sequence[str]], str | None], labels: Sequenc
     return classified
 
 
-# Fixed value: the wording of the question.
 PROMPT_HEAD = (
-    "You classify healthcare facilities into exactly one medical specialty.\n"
-    "Pick the single best matching specialty from the allowed list.\n"
-    "Respond with only the specialty name, with no extra text.\n\n"
-    "Allowed specialties:"
+    "Read the record of a care provider below and name its field of medicine.\n"
+    "Choose one of the labels listed here and write that label, nothing else.\n\n"
+    "Labels to choose from:"
 )
+PROMPT_RECORD = "Record:"
 
 
 def prompt(context: Column, labels: Column) -> Column:
     """Question for a language model about one context."""
     return F.concat_ws(
-        "\n", F.lit(PROMPT_HEAD), F.array_join(labels, ", "), F.lit(""), F.lit("Facility information:"), context
+        "\n", F.lit(PROMPT_HEAD), F.array_join(labels, ", "), F.lit(""), F.lit(PROMPT_RECORD), context
     )
 
 
@@ -122,14 +112,13 @@ def suggest_labels(
     key: str,
     answer: Callable[[Column], Column],
     classifier: Callable[[DataFrame, DataFrame], DataFrame] = by_token_overlap,
-    limit: int = 400,
 ) -> DataFrame:
     """``key, context_text, suggested_label, source``: the classifier's label, and
     where it has none the label read from ``answer(prompt)``. ``answer`` maps a
     prompt column to a text column, for instance a vectorised UDF that calls a
     model; rows that are settled give it NULL."""
-    first = infer_labels(missing, labels, key, classifier, limit)
-    listed = attach_stats(first, label_list(labels, labels.columns[0], limit), "__l")
+    first = infer_labels(missing, labels, key, classifier)
+    listed = attach_stats(first, label_list(labels, labels.columns[0]), "__l")
     choices = F.col("__l.labels")
     open_prompt = F.when(F.col("inferred_label").isNull(), prompt(F.col("context_text"), choices))
     asked = listed.withColumn("__answer", answer(open_prompt))

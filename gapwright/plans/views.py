@@ -6,18 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapwright.functions.text import is_label
-from gapwright.operators.aggregates import topk
 from gapwright.operators.reshape import distinct_union
 
 
-def mapping_view(bridge: DataFrame, facility: DataFrame, mapping: DataFrame, k: int = 500) -> DataFrame:
-    """Bridge rows with facility name and category, the first ``k`` by name."""
+def mapping_view(bridge: DataFrame, facility: DataFrame, mapping: DataFrame) -> DataFrame:
+    """All bridge rows with facility name and category, by name."""
     names = facility.select("facility_id", "facility_name")
     cats = mapping.select(F.col("specialties").alias("specialty"), F.col("category").alias("specialty_category"))
     rows = bridge.join(names, "facility_id", "left").join(cats, "specialty", "left")
     rows = rows.select("facility_id", "facility_name", "specialty", "specialty_category")
     order = [F.asc_nulls_last("facility_name"), F.asc("specialty"), F.asc("facility_id")]
-    return topk(rows, order, k)
+    return rows.orderBy(*order)
 
 
 def label_options(bridge: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ def scenario_rows(items: DataFrame, strict_labels: DataFrame | None = None) -> D
     column = strict_labels.columns[0]
     # matched on distinct capabilities, so repeated ones are searched once
     texts = rows.select("capability").distinct()
-    hits = contains_any(texts, "capability", strict_labels, column, "capability")
+    hits = contains_any(texts, "capability", strict_labels, column)
     marked = rows.join(hits.withColumn("__hit", F.lit(1)), "capability", "left")
     return marked.select(
         "district_key", "state_key", "capability", "capacity",

@@ -119,7 +119,7 @@ def test_label_fallback(spark):
         [(" A ", "d", "k"), ("null", " d ", "k"), (None, None, "k"), ("", " ", "k"), (None, "x" * 200, "k")],
         "n string, d string, k string")
     out = [r[0] for r in df.select(text.label_fallback(F.col("n"), F.col("d"), F.col("k"))).collect()]
-    assert out == ["A", "d", "k", "k", "x" * 120]
+    assert out == ["A", "d", "k", "k", "x" * 200]
 
 
 def test_normalize_quotes(apply):

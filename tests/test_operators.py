@@ -60,10 +60,24 @@ def test_contains_any_both_ways(spark):
     df = spark.createDataFrame(texts, "k int, t string")
     dim = spark.createDataFrame([("red widget",), ("Blue",), (" ",), ("a long value that is nowhere",)], "v string")
     for small in (500, 0):
-        found = joins.contains_any(df, "t", dim, "v", "k", small=small)
+        found = joins.contains_any(df, "t", dim, "v", small=small)
         assert sorted(r["k"] for r in found.collect()) == [1, 5, 7]
 
 
+def test_contains_any_looks_at_the_text_alone(spark):
+    texts = [(1, "red apple"), (1, "nothing"), (None, "red pear"), (2, "red apple"), (2, "red apple"), (3, "value 17 of many")]
+    df = spark.createDataFrame(texts, "k int, t string")
+    few = spark.createDataFrame([("red",)], "v string")
+    many = spark.createDataFrame([("red",), ("e",), *[(f"value {k} of",) for k in range(700)]], "v string")
+    for small in (500, 0):
+        found = [tuple(r) for r in joins.contains_any(df, "t", few, "v", small=small).collect()]
+        assert sorted(found, key=str) == sorted([t for t in texts if "red" in t[1]], key=str)
+    found = [tuple(r) for r in joins.contains_any(df, "t", many.filter("v <> 'e'"), "v").collect()]
+    assert sorted(found, key=str) == sorted([t for t in texts if t[1] != "nothing"], key=str)
+    found = [tuple(r) for r in joins.contains_any(df, "t", many, "v").collect()]
+    assert sorted(found, key=str) == sorted([t for t in texts if t[1] != "nothing"], key=str)
+
+
 def test_majority_vote_ties_are_alphabetical(spark):
     df = spark.createDataFrame([("s", "B"), ("s", "A"), ("s", "B"), ("s", "A"), ("t", "Z")], "k string, v string")
     assert {tuple(r) for r in aggregates.majority_vote(df, "k", "v").collect()} == {("s", "A"), ("t", "Z")}

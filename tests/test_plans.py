@@ -267,6 +267,13 @@ def test_token_overlap_picks_the_best_label(spark):
     assert {(r["k"], r["inferred_label"]) for r in rows} == {(1, "heart care"), (2, "skin care"), (3, None)}
 
 
+def test_no_label_is_cut_off(spark):
+    labels = spark.createDataFrame([(f"a{k:04d} kind",) for k in range(900)] + [("zebra care",)], "label string")
+    missing = spark.createDataFrame([(1, "the zebra"), (1, "the zebra"), (2, "A0899 kind"), (None, None)], "k int, context_text string")
+    rows = [(r["k"], r["inferred_label"]) for r in inference.infer_labels(missing, labels, "k").collect()]
+    assert sorted(rows, key=str) == sorted([(1, "zebra care"), (1, "zebra care"), (2, "a0899 kind"), (None, None)], key=str)
+
+
 def test_suggestions_ask_only_where_the_classifier_has_none(spark):
     missing = spark.createDataFrame([(1, "heart here"), (2, "nothing"), (3, "quiet")], "k int, context_text string")
     labels = spark.createDataFrame([("heart care",), ("skin care",)], "label string")
