@@ -233,7 +233,7 @@ bind("resolve_actions", resolved, """
     UNION ALL SELECT 'bridge', facility_id, unnest(['blue rod', 'old gear']) FROM @facility WHERE facility_id NOT IN (SELECT facility_id FROM @bridge)
     UNION ALL SELECT 'status', gap_id, CASE WHEN gap_type = 'invalid_facility_type' AND current_value LIKE '7%' THEN 'dismissed' ELSE status END FROM @prior
     UNION ALL SELECT 'rejected', gap_id, CASE gap_type WHEN 'unmapped_specialty' THEN 'specialty and category are required'
-                  WHEN 'invalid_facility_type' THEN 'unsupported fix_action' ELSE 'pincode must have 6 digits' END FROM @gaps
+                  WHEN 'invalid_facility_type' THEN 'unsupported fix_action' ELSE 'pincode is not six digits' END FROM @gaps
               WHERE (gap_type = 'unmapped_specialty' AND entity_key LIKE 'red%') OR (gap_type = 'invalid_facility_type' AND current_value NOT LIKE '7%')
                  OR (gap_type = 'missing_pincode' AND gap_id >= '8')""")
 

@@ -370,11 +370,11 @@ CHECKED_SQL = f"""
     SELECT edit_id, made_at, facility_id, field_name, value,
            CASE WHEN field_name NOT IN ('facility_name', 'pincode', 'operator_type', 'facility_type', 'doctors_count', 'bed_count',
                                         'specialties_raw', 'state_ut', 'district_name') THEN 'field cannot be edited: ' || field_name
-                WHEN field_name = 'operator_type' AND value NOT IN ('public', 'private', 'unknown') THEN 'operator_type must be public, private, or unknown'
-                WHEN field_name = 'pincode' AND NOT regexp_full_match(value, '[1-9][0-9]{{5}}') THEN 'pincode must have 6 digits'
-                WHEN field_name = 'bed_count' AND value IS NULL THEN 'bed_count must be a whole number'
-                WHEN field_name = 'facility_name' AND value = '' THEN 'facility_name cannot be empty'
-                WHEN field_name = 'specialties_raw' AND value = '[]' THEN 'at least one specialty is required' END AS error
+                WHEN field_name = 'operator_type' AND value NOT IN ('public', 'private', 'unknown') THEN 'operator_type is none of the choices'
+                WHEN field_name = 'pincode' AND NOT regexp_full_match(value, '[1-9][0-9]{{5}}') THEN 'pincode is not six digits'
+                WHEN field_name = 'bed_count' AND value IS NULL THEN 'bed_count is no whole number'
+                WHEN field_name = 'facility_name' AND value = '' THEN 'facility_name is blank'
+                WHEN field_name = 'specialties_raw' AND value = '[]' THEN 'no specialty given' END AS error
     FROM (SELECT *, CASE WHEN field_name = 'specialties_raw' THEN {EDIT_LIST}
                          WHEN field_name = 'bed_count' THEN CAST(TRY_CAST(nullif(regexp_extract(g, '^([+-]?[0-9]+)', 1), '') AS BIGINT) AS VARCHAR)
                          ELSE g END AS value

@@ -69,14 +69,16 @@ def long(spark: SparkSession, d: str) -> DataFrame:
 
 @kept
 def mapping(spark: SparkSession, d: str) -> DataFrame:
-    part = standin(spark, d, "part").filter(~F.col("p_name").endswith("ring"))
-    return majority_vote(part.select(F.col("p_name").alias("specialties"), F.col("p_type").alias("category")), "specialties", "category")
+    # labels that end so are left without a category
+    label = F.when(F.col("p_name").endswith("ring"), F.concat("p_name", F.lit(" (old)"))).otherwise(F.col("p_name"))
+    part = standin(spark, d, "part")
+    return majority_vote(part.select(label.alias("specialties"), F.col("p_type").alias("category")), "specialties", "category")
 
 
 @kept
 def descriptions(spark: SparkSession, d: str) -> DataFrame:
-    return standin(spark, d, "raw").filter(F.trim("name") != "null").select(
-        F.trim("name").alias("facility_id"), "description"
+    return standin(spark, d, "raw").select(
+        F.nullif(F.trim("name"), F.lit("null")).alias("facility_id"), "description"
     )
 
 
@@ -159,10 +161,11 @@ def _long_part(c: str) -> str:
 DERIVED["long"] = " UNION ALL ".join(_long_part(c) for c in TEXT_COLUMNS + NUMBER_COLUMNS)
 DERIVED["mapping"] = """
     SELECT specialties, category FROM (
-        SELECT p_name AS specialties, p_type AS category,
-               row_number() OVER (PARTITION BY p_name ORDER BY count(*) DESC, p_type) AS rn
-        FROM @part WHERE p_name NOT LIKE '%ring' GROUP BY p_name, p_type) v WHERE rn = 1"""
-DERIVED["descriptions"] = "SELECT trim(name) AS facility_id, description FROM @raw WHERE trim(name) <> 'null'"
+        SELECT label AS specialties, p_type AS category,
+               row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, p_type) AS rn
+        FROM (SELECT *, CASE WHEN p_name LIKE '%ring' THEN p_name || ' (old)' ELSE p_name END AS label FROM @part) p
+        GROUP BY label, p_type) v WHERE rn = 1"""
+DERIVED["descriptions"] = "SELECT nullif(trim(name), 'null') AS facility_id, description FROM @raw"
 
 
 def gaps_sql(facility: str, bridge: str = "@bridge", mapping: str = "@mapping", imap: str = "@imap") -> str:
@@ -172,30 +175,30 @@ def gaps_sql(facility: str, bridge: str = "@bridge", mapping: str = "@mapping",
     rows = f"""
         SELECT DISTINCT 'unmapped_specialty' AS gap_type, 'warn' AS severity, 'specialty' AS entity_type, specialty AS entity_key,
                specialty AS entity_label, 'category' AS field_name, CAST(NULL AS VARCHAR) AS current_value,
-               'Assign a specialty category' AS suggested_fix, 'add_specialty_category_mapping' AS fix_action
+               'Choose a category for the label' AS suggested_fix, 'add_specialty_category_mapping' AS fix_action
         FROM {bridge} b WHERE NOT EXISTS (SELECT 1 FROM {mapping} m WHERE m.specialties = b.specialty)
         UNION ALL
         SELECT DISTINCT 'orphan_indicator_mapping', 'critical', 'indicator', indicator_key, indicator_key, 'indicator_key', indicator_key,
-               'Remove or correct the indicator key', 'delete_health_indicator_specialty'
+               'Correct the indicator or take it out', 'delete_health_indicator_specialty'
         FROM {imap} i WHERE indicator_key NOT IN (SELECT indicator_key FROM @long)
         UNION ALL
         SELECT 'unmapped_indicator', 'warn', 'indicator', indicator_key, indicator_key, 'specialty_category', NULL,
-               'Map indicator to a supply specialty category', 'add_health_indicator_specialty'
+               'Choose a category for the indicator', 'add_health_indicator_specialty'
         FROM {keys} k WHERE indicator_key NOT IN (SELECT indicator_key FROM {imap})
         UNION ALL
         SELECT 'facility_without_specialty', 'warn', 'facility', f.facility_id,
                coalesce(nullif(nullif(trim(facility_name), ''), 'null'), nullif(trim(description), ''), f.facility_id),
                'specialties_raw', coalesce(specialties_raw, ''),
-               'Use AI to infer specialty from facility name and description, or pick manually', 'update_facility_field'
+               'Let a label be inferred from the texts, or choose one', 'update_facility_field'
         FROM {facility} f LEFT JOIN @descriptions d ON d.facility_id = f.facility_id
         WHERE f.facility_id NOT IN (SELECT facility_id FROM {bridge})
         UNION ALL
         SELECT 'missing_pincode', 'warn', 'facility', facility_id, coalesce(facility_name, facility_id), 'pincode', '',
-               'Add a valid 6-digit pincode on the facility source row', 'update_facility_field'
+               'Enter the postal code, six digits', 'update_facility_field'
         FROM {facility} WHERE pincode IS NULL
         UNION ALL
         SELECT 'invalid_facility_type', 'warn', 'facility', facility_id, coalesce(facility_name, facility_id), 'facility_type',
-               coalesce(facility_type, ''), 'Set a valid facility type on the facility source row', 'update_facility_field'
+               coalesce(facility_type, ''), 'Enter what kind of facility it is', 'update_facility_field'
         FROM {facility} WHERE {bad_type}"""
     return f"SELECT md5(concat_ws('|', gap_type, entity_type, entity_key, coalesce(field_name, ''))) AS gap_id, * FROM ({rows}) g"
 
@@ -215,7 +218,7 @@ DERIVED["prior"] = """
     SELECT *, CASE WHEN gap_id < '4' THEN 'open' WHEN gap_id < '8' THEN 'resolved' WHEN gap_id < 'c' THEN 'dismissed'
            ELSE 'auto_resolved' END AS status, CASE WHEN gap_id >= '8' THEN 'seen' END AS resolution_notes
     FROM @gaps"""
-AUTO_NOTE = "Gap no longer detected during curation refresh"
+AUTO_NOTE = "Not found again by the latest refresh"
 
 
 def merged_sql(prior: str, found: str, touched: bool = False) -> str:

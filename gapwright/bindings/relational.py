@@ -337,6 +337,9 @@ bind("pivot_top3", lambda s, d: exploration.top_categories(ranked(s, d)), f"""
     SELECT state_ut, district_name, min({TOP_LABEL}) FILTER (category_rank_in_district = 1) AS top_1,
            min({TOP_LABEL}) FILTER (category_rank_in_district = 2) AS top_2, min({TOP_LABEL}) FILTER (category_rank_in_district = 3) AS top_3
     FROM @ranked WHERE category_rank_in_district <= 3 GROUP BY 1, 2""")
+bind("top_category_list", lambda s, d: exploration.top_list(ranked(s, d)), f"""
+    SELECT state_ut, district_name, category_rank_in_district, category, indicator_count, households_surveyed, {r('avg_demand_pct', 2)} AS avg_demand_pct
+    FROM @ranked WHERE category_rank_in_district <= 3""")
 bind("suppression_stats", lambda s, d: rounded(exploration.suppression_stats(inputs.long(s, d))), f"""
     SELECT is_suppressed, count(*) AS row_count, {r('avg(indicator_value)')} AS avg_demand_pct FROM @long
     WHERE indicator_key NOT IN {SIZES} GROUP BY 1""")

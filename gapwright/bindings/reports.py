@@ -211,20 +211,20 @@ def metrics_sql(facility: str = "@facility", bridge: str = "@bridge", mapping: s
     bare = f"(SELECT count(*) FROM {facility} WHERE facility_id NOT IN (SELECT facility_id FROM {bridge}))"
     twice = f"(SELECT count(*) - count(DISTINCT facility_id) FROM {facility})"
     rows = [
-        ("facility_rows", "inventory", "Facility rows", f, "10000", "count", f"{f} BETWEEN 9500 AND 10500", "warn", "warn", "Cleaned facility count after deduplication"),
-        ("facility_duplicate_ids", "facility", "Duplicate facility IDs", twice, "0", "count", f"{twice} = 0", "critical", "fail", "Primary key uniqueness on facility_id"),
-        ("facility_district_match_pct", "facility", "District match rate", r(match, 1), "90", "percent", f"{match} >= 75", "warn", "warn", "Share of facilities with a resolved district_id"),
-        ("facility_doctors_populated_pct", "facility", "Doctors field populated", r(pct(f"SELECT count(doctors_count) FROM {facility}", f), 1), "NULL", "percent", "false", "warn", "warn", "Parsed doctors_count availability"),
-        ("facility_beds_populated_pct", "facility", "Beds field populated", r(pct(f"SELECT count(bed_count) FROM {facility}", f), 1), "NULL", "percent", "false", "warn", "warn", "Parsed bed_count availability"),
-        ("facility_join_high_pct", "facility", "High-confidence geography join", r(high, 1), "NULL", "percent", f"{high} >= 70", "warn", "warn", "Pincode + district match quality"),
-        ("health_indicator_districts", "health_indicator", "NFHS districts", districts, "706", "count", "true", "warn", "warn", "Distinct districts in health_indicator"),
-        ("health_indicator_populated_pct", "health_indicator", "Indicator values populated", r(pct("SELECT count(indicator_value) FROM @long", "(SELECT count(*) FROM @long)"), 1), "NULL", "percent", "true", "warn", "warn", "Non-null, non-suppressed indicator values"),
-        ("districts_zero_facilities", "geographic_gap", "Districts with zero facilities", zero, "NULL", "count", "false", "warn", "warn", "NFHS districts with no matched supply — may be scrape bias"),
-        ("districts_zero_facilities_pct", "geographic_gap", "Zero-facility district share", r(pct(f"SELECT {zero}", districts), 1), "NULL", "percent", "false", "warn", "warn", "Percentage of NFHS districts without matched facilities"),
-        ("unmapped_specialties", "mapping", "Unmapped facility specialties", unmapped, "0", "count", f"{unmapped} = 0", "warn", "warn", "Specialties in facility_specialty missing from specialty_category_mapping"),
-        ("orphan_indicator_mappings", "mapping", "Orphan indicator mappings", orphans, "0", "count", f"{orphans} = 0", "critical", "fail", "health_indicator_specialty keys not present in health_indicator"),
-        ("unmapped_indicators", "mapping", "Unmapped NFHS indicators", keys, "0", "count", "false", "warn", "warn", "Indicators without a specialty category mapping for gap analysis"),
-        ("facilities_without_specialty", "mapping", "Facilities without specialties", bare, "0", "count", f"{bare} = 0", "warn", "warn", "Facilities missing rows in facility_specialty"),
+        ("facility_rows", "inventory", "Facility rows", f, "10000", "count", f"{f} BETWEEN 9500 AND 10500", "warn", "warn", "Facilities left once duplicates are merged"),
+        ("facility_duplicate_ids", "facility", "Repeated facility ids", twice, "0", "count", f"{twice} = 0", "critical", "fail", "Ids that more than one facility has"),
+        ("facility_district_match_pct", "facility", "Placed in a district", r(match, 1), "90", "percent", f"{match} >= 75", "warn", "warn", "Facilities whose district is known"),
+        ("facility_doctors_populated_pct", "facility", "Doctors known", r(pct(f"SELECT count(doctors_count) FROM {facility}", f), 1), "NULL", "percent", "false", "warn", "warn", "Facilities with a number of doctors"),
+        ("facility_beds_populated_pct", "facility", "Beds known", r(pct(f"SELECT count(bed_count) FROM {facility}", f), 1), "NULL", "percent", "false", "warn", "warn", "Facilities with a number of beds"),
+        ("facility_join_high_pct", "facility", "Placed with high confidence", r(high, 1), "NULL", "percent", f"{high} >= 70", "warn", "warn", "Facilities placed by an unambiguous postal code"),
+        ("health_indicator_districts", "health_indicator", "Survey districts", districts, "706", "count", "true", "warn", "warn", "Districts the survey covers"),
+        ("health_indicator_populated_pct", "health_indicator", "Survey cells filled", r(pct("SELECT count(indicator_value) FROM @long", "(SELECT count(*) FROM @long)"), 1), "NULL", "percent", "true", "warn", "warn", "Survey cells that hold a number"),
+        ("districts_zero_facilities", "geographic_gap", "Districts without facility", zero, "NULL", "count", "false", "warn", "warn", "Surveyed districts where no facility was placed; the source may have missed some"),
+        ("districts_zero_facilities_pct", "geographic_gap", "Share of districts without facility", r(pct(f"SELECT {zero}", districts), 1), "NULL", "percent", "false", "warn", "warn", "Part of the surveyed districts where no facility was placed"),
+        ("unmapped_specialties", "mapping", "Labels without category", unmapped, "0", "count", f"{unmapped} = 0", "warn", "warn", "Labels in use that have no category"),
+        ("orphan_indicator_mappings", "mapping", "Categorised indicators not surveyed", orphans, "0", "count", f"{orphans} = 0", "critical", "fail", "Categorised indicators that the survey does not have"),
+        ("unmapped_indicators", "mapping", "Indicators without category", keys, "0", "count", "false", "warn", "warn", "Survey indicators that count for no category"),
+        ("facilities_without_specialty", "mapping", "Facilities without label", bare, "0", "count", f"{bare} = 0", "warn", "warn", "Facilities that have no label"),
     ]
     return " UNION ALL ".join(
         f"SELECT '{k}' AS metric_key, '{g}' AS metric_group, '{label}' AS metric_label, CAST({v} AS DOUBLE) AS actual_value, "

@@ -52,7 +52,7 @@ SQL = {
         JOIN @region r ON n.n_regionkey = r.r_regionkey""",
     "postal": """
         SELECT CAST(pin AS BIGINT) AS pincode, ' ' || n_name || ' ' || c_mktsegment || ' ' AS district,
-               CASE WHEN c_nationkey % 2 = 0 THEN lower(r_name) ELSE r_name || ' ' END AS statename,
+               CASE WHEN c_nationkey % 11 = 3 THEN NULL WHEN c_nationkey % 2 = 0 THEN lower(r_name) ELSE r_name || ' ' END AS statename,
                CASE WHEN c_custkey % 17 = 0 THEN 'NA'
                     ELSE CAST(8 + c_nationkey AS STRING) || '.' || lpad(CAST(c_custkey % 100 AS STRING), 2, '0') END AS latitude,
                CASE WHEN c_custkey % 23 = 0 THEN '7.5' ELSE CAST(70 + seg AS STRING) || '.5' END AS longitude
@@ -134,8 +134,10 @@ SQL = {
                CASE WHEN c_custkey % 8 = 7 THEN 'medium' ELSE 'high' END AS join_confidence
         FROM @place LEFT JOIN @part ON p_partkey = c_custkey""",
     "bridge": """
-        SELECT c_name AS facility_id, p_name AS specialty FROM @customer JOIN @part ON p_partkey = c_custkey WHERE c_acctbal >= 0
-        UNION SELECT c_name, p_name FROM @customer JOIN @part ON p_partkey = c_custkey + 1 WHERE c_acctbal > 5000""",
+        SELECT CASE WHEN c_acctbal < 0 THEN 'gone ' || c_name ELSE c_name END AS facility_id, p_name AS specialty
+        FROM @customer JOIN @part ON p_partkey = c_custkey
+        UNION SELECT CASE WHEN c_acctbal <= 5000 THEN 'gone ' || c_name ELSE c_name END, p_name
+        FROM @customer JOIN @part ON p_partkey = c_custkey + 1""",
     # corrections kept from before
     "corrections": """
         SELECT 'Customer#' || lpad(CAST(s_suppkey AS STRING), 9, '0') AS facility_id,
@@ -179,7 +181,7 @@ SQL = {
                || CASE WHEN c_custkey % 3 = 0 THEN '' WHEN c_custkey % 3 = 1 THEN 'Red Widget unit' ELSE 'Cardio wing' END
                || '","capacity":' || CAST(c_custkey % 90 AS STRING) || '},{"district_name":"' || n_name || ' MACHINERY","state_ut":"'
                || state || '","capability":"heart centre","capacity":-5}]' AS doc
-        FROM @place WHERE c_acctbal > 9000""",
+        FROM @place""",
     "unlabelled": """
         SELECT d.doc_id, d.source, d.lang, d.text FROM @documents d
         WHERE NOT EXISTS (SELECT 1 FROM @labels l WHERE l.doc_id = d.doc_id)""",

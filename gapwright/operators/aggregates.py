@@ -111,9 +111,10 @@ def first_per_key(df: DataFrame, key: str, values: Sequence[str], flag: str, fla
 
 
 def dedupe(df: DataFrame, cluster: Column, order: Sequence[Column]) -> DataFrame:
-    """Best row per cluster. Spark keeps only each task's best row per cluster
-    before the shuffle (window group limit), so a hot cluster stays small."""
-    w = Window.partitionBy("__cluster").orderBy(*order)
+    """Best row per cluster, ties to the smallest row over all its columns.
+    Spark keeps only each task's best row per cluster before the shuffle
+    (window group limit), so a hot cluster stays small."""
+    w = Window.partitionBy("__cluster").orderBy(*order, F.struct(*df.columns))
     return (
         df.withColumn("__cluster", cluster)
         .withColumn("__rn", F.row_number().over(w))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -92,16 +93,15 @@ def pivot_top(ranked: DataFrame, by: Sequence[str], rank: str, label: Column, k:
     return wide.select(*by, *[F.col(str(i)).alias(f"top_{i}") for i in range(1, k + 1)])
 
 
-def resolve_columns(df: DataFrame) -> tuple[str, str]:
-    """Indicator and category column of a mapping table, found by their names.
-    Looks at the schema only; raises where one of them is missing."""
-    lower = {c: c.lower() for c in df.columns}
-    category = [c for c, l in lower.items() if ("category" in l or "specialty" in l) and "indicator" not in l]
-    indicator = [
-        c for c, l in lower.items() if any(k in l for k in ("indicator", "column", "nfhs", "field", "metric"))
-    ]
-    if not category:
-        raise ValueError(f"no category column in {df.columns}")
-    if not indicator:
-        raise ValueError(f"no indicator column in {df.columns}")
-    return indicator[0], category[0]
+def resolve_columns(df: DataFrame, patterns: Mapping[str, str]) -> dict[str, str]:
+    """Per role the first column, in the table's order, whose name matches the
+    role's regular expression (any case). A column serves one role: roles choose
+    in the order given. Looks at the schema only; raises where a role finds none."""
+    free, found = list(df.columns), {}
+    for role, pattern in patterns.items():
+        match = next((c for c in free if re.search(pattern, c, re.IGNORECASE)), None)
+        if match is None:
+            raise ValueError(f"no column for {role} in {df.columns}")
+        found[role] = match
+        free.remove(match)
+    return found

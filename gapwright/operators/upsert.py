@@ -153,8 +153,8 @@ GAP_FIELDS = (
     "gap_type", "severity", "entity_type", "entity_key", "entity_label", "field_name",
     "current_value", "suggested_fix", "fix_action", "fix_payload",
 )
-AUTO_NOTE = "Gap no longer detected during curation refresh"
-DISMISS_NOTE = "Dismissed by user — not auto-fixable in app"
+AUTO_NOTE = "Not found again by the latest refresh"
+DISMISS_NOTE = "Put aside by hand, has no automatic fix"
 
 
 def merge_gaps(

@@ -81,21 +81,25 @@ def geo_bridge(df: DataFrame, directory: DataFrame, states: DataFrame, places: D
     """Add ``district_id, district_name, state_ut, join_confidence`` to rows with
     ``pincode`` and ``state_ut_raw``.
 
-    The dimensions are joined to each other first, so the rows themselves meet
-    one table keyed by postal code and the state aliases.
+    A code gives district and state; where its state is unknown, the row's own
+    state stands in, so places are joined last, on district and that state.
     """
     geo = places.groupBy(match_key(F.col("district_name")).alias("__dkey"), F.col("state_ut").alias("__skey")).agg(
         F.min(F.struct("district_id", "district_name", "state_ut")).alias("__geo")
     )
-    codes = directory.join(
-        geo,
-        (match_key(F.col("district_name")) == F.col("__dkey")) & (F.col("state_ut") == F.col("__skey")),
-        "left",
-    ).select(F.col("pincode").alias("__pin"), "pincode_is_ambiguous", "__geo")
-    known = states.select(F.col("alias_key").alias("__alias"))
-    joined = df.join(codes, F.col("pincode") == F.col("__pin"), "left").join(
+    codes = directory.select(
+        F.col("pincode").alias("__pin"),
+        "pincode_is_ambiguous",
+        match_key(F.col("district_name")).alias("__district"),
+        F.col("state_ut").alias("__state"),
+    )
+    known = states.select(F.col("alias_key").alias("__alias"), F.col("canonical_state_ut").alias("__own"))
+    coded = df.join(codes, F.col("pincode") == F.col("__pin"), "left").join(
         known, match_key(F.col("state_ut_raw")) == F.col("__alias"), "left"
     )
+    joined = coded.join(
+        geo, (F.col("__district") == F.col("__dkey")) & (F.coalesce("__state", "__own") == F.col("__skey")), "left"
+    )
     return joined.select(
         *df.columns,
         F.col("__geo.district_id").alias("district_id"),

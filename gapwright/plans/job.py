@@ -18,7 +18,7 @@ from gapwright.functions.fixed import (
 from gapwright.functions.text import is_label
 from gapwright.operators.upsert import backfill_bridge, delete_where, merge_gaps
 from gapwright.plans import curation, quality, vocabulary
-from gapwright.sources.publish import publish, replace_table
+from gapwright.sources.publish import publish, recover_tables, replace_table
 from gapwright.sources.tables import empty
 
 
@@ -35,6 +35,13 @@ class Sources:
     mapping: DataFrame
 
 
+# all tables that a run replaces as a whole
+TABLES = (
+    "facility", "health_indicator", "facility_specialty", "health_indicator_specialty", "specialty_category_mapping",
+    "facility_correction", "dq_metrics",
+)
+
+
 def curate(
     spark: SparkSession,
     src: Sources,
@@ -54,6 +61,8 @@ def curate(
     def name(table: str) -> str:
         return f"{target}.{table}"
 
+    recover_tables(spark, [name(table) for table in TABLES])
+
     def there(table: str, schema: str) -> DataFrame:
         return spark.table(name(table)) if spark.catalog.tableExists(name(table)) else empty(spark, schema)
 

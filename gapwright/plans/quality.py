@@ -79,13 +79,13 @@ def dq_stats(m: Model) -> DataFrame:
         F.count_distinct("district_id").alias("districts"),
         F.coalesce(F.sum("nulls"), F.lit(0)).alias("nulls"),
     )
-    districts = m.long.select("district_id").distinct()
+    districts = cells.select("district_id").distinct()
     supplied = m.facility.select("district_id").filter(c("district_id").isNotNull()).distinct()
     gaps = districts.join(supplied.withColumn("hit", F.lit(1)), "district_id", "left").agg(
         F.count(F.lit(1)).alias("districts"), F.count_if(c("hit").isNull()).alias("zero")
     )
     labels = m.bridge.select("specialty").distinct()
-    keys = m.long.select("indicator_key").distinct()
+    keys = cells.select("indicator_key").distinct()
 
     def rows(df: DataFrame) -> DataFrame:
         return df.agg(F.count(F.lit(1)).alias("n"))
@@ -136,39 +136,39 @@ def dq_metrics(m: Model, now: Column, t: Thresholds = Thresholds()) -> DataFrame
     high = share(c("fs.high"), rows)
     specs = [
         row("facility_rows", "inventory", "Facility rows", rows, t.facility_rows_expected, "count",
-            rows.between(*t.facility_rows), warn, "Cleaned facility count after deduplication"),
-        row("facility_duplicate_ids", "facility", "Duplicate facility IDs", rows - c("fs.ids"), 0, "count",
-            rows == c("fs.ids"), crit, "Primary key uniqueness on facility_id"),
-        row("facility_district_match_pct", "facility", "District match rate", stable_round(matched, 1),
+            rows.between(*t.facility_rows), warn, "Facilities left once duplicates are merged"),
+        row("facility_duplicate_ids", "facility", "Repeated facility ids", rows - c("fs.ids"), 0, "count",
+            rows == c("fs.ids"), crit, "Ids that more than one facility has"),
+        row("facility_district_match_pct", "facility", "Placed in a district", stable_round(matched, 1),
             t.match_pct_expected, "percent", matched >= t.match_pct, warn,
-            "Share of facilities with a resolved district_id"),
-        row("facility_doctors_populated_pct", "facility", "Doctors field populated",
+            "Facilities whose district is known"),
+        row("facility_doctors_populated_pct", "facility", "Doctors known",
             stable_round(share(rows - c("fs.no_doctors"), rows), 1), None, "percent", None, warn,
-            "Parsed doctors_count availability"),
-        row("facility_beds_populated_pct", "facility", "Beds field populated",
+            "Facilities with a number of doctors"),
+        row("facility_beds_populated_pct", "facility", "Beds known",
             stable_round(share(rows - c("fs.no_beds"), rows), 1), None, "percent", None, warn,
-            "Parsed bed_count availability"),
-        row("facility_join_high_pct", "facility", "High-confidence geography join", stable_round(high, 1),
-            None, "percent", high >= t.high_pct, warn, "Pincode + district match quality"),
-        row("health_indicator_districts", "health_indicator", "NFHS districts", c("hs.districts"),
-            t.districts_expected, "count", None, fine, "Distinct districts in health_indicator"),
-        row("health_indicator_populated_pct", "health_indicator", "Indicator values populated",
+            "Facilities with a number of beds"),
+        row("facility_join_high_pct", "facility", "Placed with high confidence", stable_round(high, 1),
+            None, "percent", high >= t.high_pct, warn, "Facilities placed by an unambiguous postal code"),
+        row("health_indicator_districts", "health_indicator", "Survey districts", c("hs.districts"),
+            t.districts_expected, "count", None, fine, "Districts the survey covers"),
+        row("health_indicator_populated_pct", "health_indicator", "Survey cells filled",
             stable_round(share(c("hs.rows") - c("hs.nulls"), c("hs.rows")), 1), None, "percent", None, fine,
-            "Non-null, non-suppressed indicator values"),
-        row("districts_zero_facilities", "geographic_gap", "Districts with zero facilities", c("dg.zero"),
-            None, "count", None, warn, "NFHS districts with no matched supply — may be scrape bias"),
-        row("districts_zero_facilities_pct", "geographic_gap", "Zero-facility district share",
+            "Survey cells that hold a number"),
+        row("districts_zero_facilities", "geographic_gap", "Districts without facility", c("dg.zero"),
+            None, "count", None, warn, "Surveyed districts where no facility was placed; the source may have missed some"),
+        row("districts_zero_facilities_pct", "geographic_gap", "Share of districts without facility",
             stable_round(share(c("dg.zero"), c("dg.districts")), 1), None, "percent", None, warn,
-            "Percentage of NFHS districts without matched facilities"),
-        row("unmapped_specialties", "mapping", "Unmapped facility specialties", c("unmapped_specialties"), 0,
+            "Part of the surveyed districts where no facility was placed"),
+        row("unmapped_specialties", "mapping", "Labels without category", c("unmapped_specialties"), 0,
             "count", c("unmapped_specialties") == 0, warn,
-            "Specialties in facility_specialty missing from specialty_category_mapping"),
-        row("orphan_indicator_mappings", "mapping", "Orphan indicator mappings", c("orphans"), 0, "count",
-            c("orphans") == 0, crit, "health_indicator_specialty keys not present in health_indicator"),
-        row("unmapped_indicators", "mapping", "Unmapped NFHS indicators", c("unmapped_indicators"), 0, "count",
-            None, warn, "Indicators without a specialty category mapping for gap analysis"),
-        row("facilities_without_specialty", "mapping", "Facilities without specialties", c("bare"), 0, "count",
-            c("bare") == 0, warn, "Facilities missing rows in facility_specialty"),
+            "Labels in use that have no category"),
+        row("orphan_indicator_mappings", "mapping", "Categorised indicators not surveyed", c("orphans"), 0, "count",
+            c("orphans") == 0, crit, "Categorised indicators that the survey does not have"),
+        row("unmapped_indicators", "mapping", "Indicators without category", c("unmapped_indicators"), 0, "count",
+            None, warn, "Survey indicators that count for no category"),
+        row("facilities_without_specialty", "mapping", "Facilities without label", c("bare"), 0, "count",
+            c("bare") == 0, warn, "Facilities that have no label"),
     ]
     return stack_rows(dq_stats(m), specs).withColumn("measured_at", now)
 
@@ -206,14 +206,14 @@ def _facility_gaps(m: Model) -> DataFrame:
         F.when(
             c("pincode").isNull(),
             _gap("missing_pincode", "warn", "facility", c("facility_id"), label, "pincode", pin,
-                 "Add a valid 6-digit pincode on the facility source row", "update_facility_field",
+                 "Enter the postal code, six digits", "update_facility_field",
                  facility_id=c("facility_id"), field_name=F.lit("pincode"), current_value=pin,
                  facility_name=c("facility_name")),
         ),
         F.when(
             bad_type,
             _gap("invalid_facility_type", "warn", "facility", c("facility_id"), label, "facility_type", kind,
-                 "Set a valid facility type on the facility source row", "update_facility_field",
+                 "Enter what kind of facility it is", "update_facility_field",
                  facility_id=c("facility_id"), field_name=F.lit("facility_type"), current_value=kind,
                  facility_name=c("facility_name")),
         ),
@@ -247,23 +247,23 @@ def dq_gaps(m: Model) -> DataFrame:
     found = [
         labels.select(F.inline(F.array(
             _gap("unmapped_specialty", "warn", "specialty", c("specialty"), c("specialty"), "category", nothing,
-                 "Assign a specialty category", "add_specialty_category_mapping", specialty=c("specialty"))
+                 "Choose a category for the label", "add_specialty_category_mapping", specialty=c("specialty"))
         ))),
         orphans.select(F.inline(F.array(
             _gap("orphan_indicator_mapping", "critical", "indicator", c("indicator_key"), c("indicator_key"),
-                 "indicator_key", c("indicator_key"), "Remove or correct the indicator key",
+                 "indicator_key", c("indicator_key"), "Correct the indicator or take it out",
                  "delete_health_indicator_specialty", indicator_key=c("indicator_key"),
                  specialty_category=c("specialty_category"))
         ))),
         unmapped.select(F.inline(F.array(
             _gap("unmapped_indicator", "warn", "indicator", c("indicator_key"), c("indicator_key"),
-                 "specialty_category", nothing, "Map indicator to a supply specialty category",
+                 "specialty_category", nothing, "Choose a category for the indicator",
                  "add_health_indicator_specialty", indicator_key=c("indicator_key"))
         ))),
         missing_labels(m).select(F.inline(F.array(
             _gap("facility_without_specialty", "warn", "facility", c("facility_id"),
                  label_fallback(c("facility_name"), c("description"), c("facility_id")), "specialties_raw", raw_list,
-                 "Use AI to infer specialty from facility name and description, or pick manually",
+                 "Let a label be inferred from the texts, or choose one",
                  "update_facility_field", facility_id=c("facility_id"), field_name=F.lit("specialties_raw"),
                  current_value=raw_list, facility_name=c("facility_name"), facility_type=c("facility_type"),
                  description=c("description"))
@@ -338,13 +338,13 @@ def checked_edits(edits: DataFrame) -> DataFrame:
     )
     v = F.col("value")
     error = (
-        F.when(nullify(F.col("facility_id"), ("",)).isNull(), "facility_id is required")
+        F.when(nullify(F.col("facility_id"), ("",)).isNull(), "no facility_id given")
         .when(~field.isin(*FIELD_TYPES) | field.isNull(), F.concat(F.lit("field cannot be edited: "), F.coalesce(field, F.lit(""))))
-        .when((field == "operator_type") & ~v.isin(*OPERATOR_CHOICES), "operator_type must be public, private, or unknown")
-        .when((field == "pincode") & ~v.rlike("^[1-9][0-9]{5}$"), "pincode must have 6 digits")
-        .when(is_int & v.isNull(), F.concat(field, F.lit(" must be a whole number")))
-        .when((field == "facility_name") & (v == ""), "facility_name cannot be empty")
-        .when((field == "specialties_raw") & (v == "[]"), "at least one specialty is required")
+        .when((field == "operator_type") & ~v.isin(*OPERATOR_CHOICES), "operator_type is none of the choices")
+        .when((field == "pincode") & ~v.rlike("^[1-9][0-9]{5}$"), "pincode is not six digits")
+        .when(is_int & v.isNull(), F.concat(field, F.lit(" is no whole number")))
+        .when((field == "facility_name") & (v == ""), "facility_name is blank")
+        .when((field == "specialties_raw") & (v == "[]"), "no specialty given")
     )
     return edits.withColumn("value", value).withColumn("error", error)
 

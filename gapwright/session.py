@@ -37,11 +37,14 @@ def local_session(
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints: the one the session names, or, where none
-    is set (local tests), a new temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """Shared folder for checkpoints: the one the session names. A session of a
+    single machine that names none gets a new temporary one; on a cluster a
+    machine's own folder would be of no use to the others, so one must be named."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="gapwright-")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        named = tempfile.mkdtemp(prefix="gapwright-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
     return named

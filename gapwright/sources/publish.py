@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +38,14 @@ def recover(spark: SparkSession, target: str, merge: Merge) -> None:
         _merge_staging(spark, target, merge)
 
 
+def recover_tables(spark: SparkSession, targets: Sequence[str]) -> None:
+    """Finish interrupted swaps of tables that are replaced as a whole: what was
+    written and not yet renamed takes its place before the table is looked at."""
+    for target in targets:
+        if spark.catalog.tableExists(f"{target}_next") and not spark.catalog.tableExists(target):
+            spark.sql(f"ALTER TABLE {target}_next RENAME TO {target}")
+
+
 def _merge_staging(spark: SparkSession, target: str, merge: Merge) -> None:
     merged = merge(spark.table(target), spark.table(f"{target}_staging"))
     write_table(merged, f"{target}_next")

@@ -57,6 +57,23 @@ def test_run_and_rerun(spark, curated):
     assert again == first
 
 
+def test_a_stop_between_drop_and_rename_loses_nothing(spark, curated):
+    if not spark.catalog.tableExists("model.dq_gap"):
+        curated()
+    edits = {
+        "facility_specialty": spark.createDataFrame([("edited-1", "edited label")], "facility_id string, specialty string"),
+        "specialty_category_mapping": spark.createDataFrame([("edited label", "edited category")], "specialties string, category string"),
+    }
+    for name, row in edits.items():
+        replace_table(spark, f"model.{name}", spark.table(f"model.{name}").unionByName(row))
+        # what is left when the driver stops right after the old table is dropped
+        spark.sql(f"ALTER TABLE model.{name} RENAME TO model.{name}_next")
+    curated()
+    assert spark.table("model.facility_specialty").filter("facility_id = 'edited-1'").count() == 1
+    assert spark.table("model.specialty_category_mapping").filter("category = 'edited category'").count() == 1
+    assert not [t.name for t in spark.catalog.listTables("model") if t.name.endswith("_next")]
+
+
 def test_correction_settles_a_gap(spark, curated):
     if not spark.catalog.tableExists("model.dq_gap"):
         curated()

@@ -103,12 +103,14 @@ def test_unpivot_scans_once_and_keeps_values(spark, tmp_path):
 
 
 def test_resolve_columns(spark):
-    ok = spark.createDataFrame([], "indicator_key string, specialty_category string")
-    assert reshape.resolve_columns(ok) == ("indicator_key", "specialty_category")
+    roles = {"category": "category|specialt", "indicator": "indicator|metric|column"}
+    ok = spark.createDataFrame([], "Indicator_Key string, Specialty_Category string, metric_category string")
+    assert reshape.resolve_columns(ok, roles) == {"category": "Specialty_Category", "indicator": "Indicator_Key"}
+    only = spark.createDataFrame([], "metric_category string")
     with pytest.raises(ValueError, match="indicator"):
-        reshape.resolve_columns(spark.createDataFrame([], "specialties string, category string"))
+        reshape.resolve_columns(only, roles)
     with pytest.raises(ValueError, match="category"):
-        reshape.resolve_columns(spark.createDataFrame([], "a string"))
+        reshape.resolve_columns(spark.createDataFrame([], "a string"), roles)
 
 
 def test_score_range_of_nothing(spark):
@@ -236,3 +238,9 @@ def test_write_and_load(spark, tmp_path):
     tables.write_table(df, str(tmp_path / "t.parquet"))
     tables.write_table(df, str(tmp_path / "t.parquet"), "append")
     assert tables.load(spark, str(tmp_path), "t")["t"].count() == 2
+
+
+def test_dedupe_ties_go_to_the_smallest_row(spark):
+    rows = [("a", "c", 5, x) for x in ("q", "b", "z")]
+    df = spark.createDataFrame(rows, "id string, cl string, n int, other string").repartition(3)
+    assert aggregates.dedupe(df, F.col("cl"), [F.desc("n"), F.asc("id")]).first()["other"] == "b"

@@ -289,3 +289,12 @@ def test_demo_row_is_added_once(spark, model):
     once = curation.anchor_row(model.facility, model.long, {"facility_id": "demo"}, "737101")
     assert once.count() == 4 and once.filter("facility_id = 'demo'").first()["pincode"] == "500001"
     assert curation.anchor_row(once, model.long, {"facility_id": "demo"}, "737101").count() == 4
+
+
+def test_a_code_without_state_takes_the_state_of_the_row(spark):
+    directory = spark.createDataFrame([("500001", "North", None, False), ("500002", "North", "Goa", True)], "pincode string, district_name string, state_ut string, pincode_is_ambiguous boolean")
+    states = spark.createDataFrame([("GOA", "Goa"), ("KERALA", "Kerala")], "alias_key string, canonical_state_ut string")
+    places = spark.createDataFrame([("d1", "North", "Goa")], "district_id string, district_name string, state_ut string")
+    rows = spark.createDataFrame([(1, "500001", "goa"), (2, "500001", "Kerala"), (3, "500001", "?"), (4, "500002", "?"), (5, None, "Goa")], "k int, pincode string, state_ut_raw string")
+    found = curation.geo_bridge(rows, directory, states, places).orderBy("k").collect()
+    assert [(r["district_id"], r["join_confidence"]) for r in found] == [("d1", "high"), (None, "low"), (None, "unmatched"), ("d1", "medium"), (None, "low")]
