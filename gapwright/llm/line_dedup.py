@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gapwright.llm.ranks import salted_join
 from gapwright.llm.text import line_key, whole
 
 LEAST_CHARS = 10
@@ -24,7 +25,7 @@ def line_dedup(
     ``least_docs`` documents or more, only the lines in that document stay.
     The other lines are joined again in their order. Counting adds up before
     the shuffle, so a line found everywhere is one row from each task; the
-    join that marks positions carries hashes, not lines.
+    join that marks positions carries hashes, not lines, and is salted.
 
     Null text is one empty line and becomes an empty text. Repeated rows hold
     one id, so they lose nothing to each other, though each counts towards
@@ -51,7 +52,7 @@ def line_dedup(
     shared = counts.where((F.col("_docs") >= least_docs) & several)
     placed = source.select("_id", "_text", F.posexplode("_digests").alias("_pos", "_hash")).where("_hash IS NOT NULL")
     drops = (
-        placed.join(shared.select("_hash", "_keeper"), "_hash")
+        salted_join(placed, shared.select("_hash", "_keeper"), "_hash")
         .where(~F.col("_id").eqNullSafe(F.col("_keeper")))
         .groupBy("_id", "_text")
         .agg(F.collect_set("_pos").alias("_drops"))

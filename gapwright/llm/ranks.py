@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gapwright.llm.scratch import kept
 
+SALTS = 16
 PART, LINE, BEFORE = "_part", "_line", "_before"
 
 
@@ -30,3 +31,12 @@ def ranked(df: DataFrame, groups: list[str], order: list[str], name: str = "rank
     bases = counts.select(*[F.col(c).alias(f"_of{c}") for c in (PART, *groups)], base.alias(BEFORE))
     here = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_of{c}")) for c in (PART, *groups)))
     return rows.join(bases, here).select(*df.columns, (F.col(LINE) + F.col(BEFORE) + 1).alias(name))
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: str, salts: int = SALTS) -> DataFrame:
+    """Equi join on one column that ``left`` may hold very often and ``right``
+    holds once: ``right`` goes out once for each salt, so a hot key of ``left``
+    lies in as many tasks. Its rows are dealt by a hash of all their columns."""
+    spread = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return spread.join(copies, [on, "_salt"]).drop("_salt")
