@@ -13,7 +13,7 @@ from gapwright.functions.fixed import OPERATOR_CHOICES
 from gapwright.functions.jsontext import parse_payload, payload, text_to_list
 from gapwright.functions.keys import surrogate_key
 from gapwright.functions.numbers import percent, stable_round
-from gapwright.functions.text import label_fallback, nullify
+from gapwright.functions.text import is_label, label_fallback, nullify
 from gapwright.operators.aggregates import by_ranking
 from gapwright.operators.joins import without_match
 from gapwright.operators.reshape import stack_rows, union_all
@@ -299,9 +299,11 @@ def open_gaps(gaps: DataFrame, gap_type: str | None = None) -> DataFrame:
 
 
 def dq_refresh(m: Model, prior: DataFrame, now: Column, t: Thresholds = Thresholds(), exclude: Sequence[str] = ()):
-    """Whole refresh: map what is unmapped, backfill the bridge, then measure and
-    reconcile the gap list. Gives the new model, the metrics and the gaps. Only
-    the added rows are settled, the tables they are added to are read as they are."""
+    """Whole refresh: take blank labels and JSON fragments out of the bridge, map
+    what is unmapped, backfill the bridge, then measure and reconcile the gap
+    list. Gives the new model, the metrics and the gaps. Only the added rows are
+    settled, the tables they are added to are read as they are."""
+    m = replace(m, bridge=m.bridge.filter(is_label(F.col("specialty"))))
     indicators = settled(map_unmapped_indicators(m.long, m.indicator_bridge))
     labels = settled(map_unmapped_labels(m.bridge, m.mapping))
     rows = settled(missing_bridge_rows(m.bridge, m.facility, exclude))

@@ -33,11 +33,12 @@ def scenario_frame(spark: SparkSession, text: str) -> DataFrame:
     return scenario_items(spark.createDataFrame([(text,)], "doc string"), "doc")
 
 
-def scenario_rows(items: DataFrame, strict_labels: DataFrame | None = None) -> DataFrame:
+def scenario_rows(items: DataFrame, strict_labels: DataFrame | None = None, category: str | None = None) -> DataFrame:
     """Normalised scenario facilities: ``district_key, state_key, capability,
     capacity, is_match``. Capacity is at least 0. A facility counts for the
     category when it names any capability; with ``strict_labels`` (one column of
-    label texts) only when its capability contains one of them."""
+    label texts) only when its capability contains one of them or the name of
+    the ``category``; for the category ``ALL`` any capability will do."""
     capability = F.trim(F.coalesce("capability", F.lit("")))
     rows = items.select(
         match_key(F.col("district_name")).alias("district_key"),
@@ -45,7 +46,7 @@ def scenario_rows(items: DataFrame, strict_labels: DataFrame | None = None) -> D
         capability.alias("capability"),
         F.greatest(F.coalesce("capacity", F.lit(0)), F.lit(0)).alias("capacity"),
     )
-    if strict_labels is None:
+    if strict_labels is None or category == "ALL":
         return rows.withColumn("is_match", F.when(F.col("capability") == "", 0).otherwise(1))
     column = strict_labels.columns[0]
     # matched on distinct capabilities, so repeated ones are searched once
@@ -54,5 +55,11 @@ def scenario_rows(items: DataFrame, strict_labels: DataFrame | None = None) -> D
     marked = rows.join(hits.withColumn("__hit", F.lit(1)), "capability", "left")
     return marked.select(
         "district_key", "state_key", "capability", "capacity",
-        F.coalesce("__hit", F.lit(0)).alias("is_match"),
+        F.when(_names(F.col("capability"), category), 1).otherwise(F.coalesce("__hit", F.lit(0))).alias("is_match"),
     )
+
+
+def _names(capability: Column, category: str | None) -> Column:
+    """Whether a capability names the category itself."""
+    name = (category or "").strip().lower()
+    return F.contains(F.lower(capability), F.lit(name)) if name else F.lit(False)

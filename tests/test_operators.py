@@ -240,6 +240,15 @@ def test_write_and_load(spark, tmp_path):
     assert tables.load(spark, str(tmp_path), "t")["t"].count() == 2
 
 
+def test_strict_scenario_rules(spark):
+    text = '[{"capability":"Heart centre"},{"capability":"the Cardiovascular Care wing"},{"capability":"x"},{"capability":" "}]'
+    labels = spark.createDataFrame([("heart",)], "label string")
+    for category, want in ((None, [1, 0, 0, 0]), ("Cardiovascular Care", [1, 1, 0, 0]), ("ALL", [1, 1, 1, 0])):
+        rows = params.scenario_rows(params.scenario_frame(spark, text), labels, category).collect()
+        hits = {r["capability"]: r["is_match"] for r in rows}
+        assert [hits[c] for c in ("Heart centre", "the Cardiovascular Care wing", "x", "")] == want
+
+
 def test_dedupe_ties_go_to_the_smallest_row(spark):
     rows = [("a", "c", 5, x) for x in ("q", "b", "z")]
     df = spark.createDataFrame(rows, "id string, cl string, n int, other string").repartition(3)

@@ -291,6 +291,11 @@ def test_demo_row_is_added_once(spark, model):
     assert curation.anchor_row(once, model.long, {"facility_id": "demo"}, "737101").count() == 4
 
 
+def test_one_category_has_one_spelling(spark):
+    imap = spark.createDataFrame([("a ", "Women’s Health"), ("a", "Women's Health"), (" ", "x"), ("b", None)], "indicator_key string, specialty_category string")
+    assert [tuple(r) for r in exploration.clean_mapping(imap).collect()] == [("a", "Women's Health")]
+
+
 def test_a_code_without_state_takes_the_state_of_the_row(spark):
     directory = spark.createDataFrame([("500001", "North", None, False), ("500002", "North", "Goa", True)], "pincode string, district_name string, state_ut string, pincode_is_ambiguous boolean")
     states = spark.createDataFrame([("GOA", "Goa"), ("KERALA", "Kerala")], "alias_key string, canonical_state_ut string")
