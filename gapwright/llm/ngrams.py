@@ -6,8 +6,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 
-CHUNK = 1 << 20  # bytes looked at together; longer texts go slice by slice
+CHUNK = 1 << 18  # bytes looked at together; longer texts go slice by slice
 BITS = 14  # buckets of words, and as many of characters
 BUCKETS = 1 << BITS
 NGRAM = 3  # bytes
@@ -152,6 +153,13 @@ def _means(of: np.ndarray, buckets: np.ndarray, weights: np.ndarray, n: int) ->
     return np.bincount(of, weights=weights[buckets], minlength=n), np.bincount(of, minlength=n)
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches in short pieces, so that few texts are held as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def groups(texts: list[bytes]) -> Iterator[list[bytes]]:
     group, size = [], 0
     for text in texts:

@@ -146,8 +146,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end: int, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoded, tail = encoder(tokenizer), end.to_bytes(4, "little")
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 out: list[tuple] = []
                 for doc, ids in zip(part["_id"].to_pylist(), encoded(part["_text"].to_pylist()), strict=True):
                     data = memoryview(ids + tail)

@@ -143,7 +143,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_weights, char_weights, fitted = weights.value
-        for batch in batches:
+        for batch in ngrams.parts(batches):
             at = 0
             for group in ngrams.groups([t.encode() for t in batch["_text"].to_pylist()]):
                 s = ngrams.stats(group, word_weights, char_weights)

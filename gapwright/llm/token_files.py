@@ -94,8 +94,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int | None = 0, id_co
             return pa.RecordBatch.from_pylist([row], _ARROW)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 for doc, ids in zip(part["_id"].to_pylist(), encoded(part["_text"].to_pylist()), strict=True):
                     doc_ids.append(doc)
                     parts.append(ids + tail)

@@ -11,9 +11,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-TOGETHER = 4_000_000  # characters encoded together
-FREQUENT = 300_000  # words looked up by Arrow, those met first
-CACHED = 200_000  # pieces kept by a Python worker, in each of two generations and two caches
+TOGETHER = 1_500_000  # characters encoded together
+FREQUENT = 150_000  # words looked up by Arrow, those met first
+CACHED = 80_000  # pieces kept by a Python worker, in each of two generations and two caches
 
 
 # a space before white space or at the end
