@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapwright.llm.ranks import ranked
@@ -76,6 +76,6 @@ def mix(
     return out.withColumn("taken", F.col("copies") * F.col(size_col)).drop("_rank", "_source")
 
 
-def emitted(mixed: DataFrame, columns: list[str]) -> DataFrame:
+def emitted(mixed: DataFrame, columns: list[Column]) -> DataFrame:
     """The mix itself: each document as often as it is taken."""
     return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)

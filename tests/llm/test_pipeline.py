@@ -12,7 +12,7 @@ FOLDER = "/root/testdata/sf0.001"
 def test_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     # a column that clashes with results of several operators goes through unchanged
-    docs = docs.withColumn("kept", F.lit("own")).withColumn("target", F.lit(7))
+    docs = docs.withColumn("kept", F.lit("own")).withColumn("target", F.lit(7)).withColumn("copies", F.lit(1))
     columns = docs.columns
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "near dedup", "mix sources", "pack sequences"]
     kept = []
