@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapwright.llm import membership, ngrams
+from gapwright.llm.ranks import salted_join
 from gapwright.llm.scratch import kept
 from gapwright.llm.text import whole
 
@@ -100,7 +101,7 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _anchor_rows(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in ngrams.parts(batches):
             ids, at = batch["_id"].to_numpy(), 0
             for group in ngrams.groups([t.encode() for t in batch["_text"].to_pylist()]):
                 found = [np.unique(anchors(h, window, gram)) if len(h) >= window else np.zeros(0, np.uint64) for h in ngrams.word_hashes(group)]
@@ -116,7 +117,7 @@ def _segment_rows(window: int, gram: int, bits):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = bits.value
-        for batch in batches:
+        for batch in ngrams.parts(batches):
             ids, marks, at = batch["_id"].to_pylist(), batch["_mark"].to_pylist(), 0
             for group in ngrams.groups([t.encode() for t in batch["_text"].to_pylist()]):
                 rows: list[tuple] = []
@@ -187,7 +188,7 @@ def _by_automata(window: int):
 
 def _windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in ngrams.parts(batches):
             for row in batch.to_pylist():
                 words = row["passage"].split(b" ")
                 ends = np.cumsum([len(w) + 1 for w in words]) - 1
@@ -206,7 +207,7 @@ def _windows(window: int):
 
 def _kept_words(window: int, carried: list[str], text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in ngrams.parts(batches):
             texts, n_words, n_removed = [], [], []
             for text, spans in zip(batch["_text"].to_pylist(), batch["_spans"].to_pylist(), strict=True):
                 words = text.encode().split()
@@ -279,8 +280,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     windows = sized.where("hot").select("anchor", "digest", "first", "passage").mapInArrow(
         _windows(window), "anchor long, digest binary, first long, no long, window binary"
     )
-    earliest = windows.groupBy(F.col("window").alias("_w")).agg(F.min("first").alias("_e"))
-    hot = windows.join(earliest, F.col("window") == F.col("_w")).where("_e < first").groupBy("anchor", "digest").agg(F.collect_set("no").alias("gone"))
+    earliest = windows.groupBy("window").agg(F.min("first").alias("_e"))
+    hot = salted_join(windows, earliest, "window").where("_e < first").groupBy("anchor", "digest").agg(F.collect_set("no").alias("gone"))
     verdicts = different.select("anchor", "digest", "first").join(cool.unionByName(hot), ["anchor", "digest"], "left")
 
     at = segments.select("anchor", "digest", "_id", "_mark", "pos", "n").join(verdicts, ["anchor", "digest"])
