@@ -60,7 +60,8 @@ class Encoder:
     together by Arrow, a whole batch at once; the others come from a cache of
     recent words, and those not held go through the library. A text with a
     space before white space or at its end is cut nowhere but by the library.
-    Names of special tokens in a text are plain text.
+    So goes a text whole that holds the name of an added token, which the
+    library looks for before it cuts.
     """
 
     def __init__(self, path: str):
@@ -68,6 +69,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
+        self.library, self.added = tokenizer, [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.model, self.cut = tokenizer.model, tokenizer.pre_tokenizer.pre_tokenize_str
         if tokenizer.normalizer is not None or type(tokenizer.pre_tokenizer).__name__ != "ByteLevel":
             raise ValueError("a byte-level tokenizer without normalizer is needed")
@@ -84,6 +86,9 @@ class Encoder:
     def _text(self, text: str) -> bytes:
         return b"".join([self.pieces[mapped] for mapped, _ in self.cut(text)])
 
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def _simple(self, word: str, space: str) -> bytes | None:
         """Letters are one piece, and so are ASCII marks behind them."""
         stem = word.rstrip(_MARKS)
@@ -115,6 +120,10 @@ class Encoder:
     def _together(self, texts: list[str]) -> list[bytes]:
         heads, rests = [], []
         for text in texts:
+            if any(name in text for name in self.added):
+                heads.append(self._whole(text))
+                rests.append(None)
+                continue
             if _UNCUT.search(text):
                 first, rest = text, None
             else:
