@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapwright.llm import jaccard, line_dedup, mixing, packing, quality
+from gapwright.llm import line_dedup, mixing, packing, quality, simhash
 from gapwright.llm.scratch import kept
 from gapwright.llm.ship import ship
 from gapwright.llm.text import n_words, whole
@@ -47,10 +47,13 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or
-    more) the document with the smallest id; rows repeated under that id are one document and all stay."""
+    """Of each group of near-duplicates (SimHash of three-word shingles, two
+    differing bits or fewer) the document with the smallest id. Documents
+    without words have fingerprint zero and are one group; null ids stay only
+    where their group has no other. Rows repeated under the id that stays are
+    one document and all stay. An empty table gives no rows."""
     ship(spark)
-    groups = jaccard.near_dedup(docs.select("doc_id", "text"))
+    groups = simhash.near_dedup(docs.select("doc_id", "text"))
     stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
     return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("_stay")), "left_semi")
 
