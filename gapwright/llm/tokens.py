@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import os
 import re
-import string
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -13,42 +13,30 @@ import pyarrow.compute as pc
 
 TOGETHER = 1_500_000  # characters encoded together
 FREQUENT = 150_000  # words looked up by Arrow, those met first
-CACHED = 80_000  # pieces kept by a Python worker, in each of two generations and two caches
+CACHED = 200_000  # pieces kept by a Python worker
 
 
 # a space before white space or at the end
 _UNCUT = re.compile(r" (?:[\s\x1c-\x1f\x85]|\Z)")
 
 
-_MARKS = string.punctuation
-_PLAIN = "\u0250"  # letters of older Unicode versions, the same everywhere
+# letters below U+0250: the same in all versions of Unicode
+_LETTERS = r"[a-zA-Z\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]+"
+# a word, or two with a line end between: letters are one piece, and so are ASCII marks behind them
+_PLAIN = rf"^(?P<a>{_LETTERS})(?P<b>[[:punct:]]*)(?:(?P<line>\n)(?P<c>{_LETTERS})(?P<d>[[:punct:]]*))?$"
 # byte-level tokenizers write visible bytes as they are, others from U+0100 on
 _SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _OTHER = [b for b in range(256) if b not in _SEEN]
 _TABLE = {b: chr(b) for b in _SEEN} | {b: chr(256 + n) for n, b in enumerate(_OTHER)}
+BYTES = {c: b for b, c in _TABLE.items()}  # character to the byte it is written for
 
 
 def _mapped(text: str) -> str:
     return text.encode().decode("latin-1").translate(_TABLE)
 
 
-class _Cache(dict):
-    """Piece to the bytes of its ids; what is not held is made by ``make``.
-    Full, it becomes the old generation, which is asked before ``make``."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make, self.old = make, {}
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.old.get(piece)
-        if ids is None:
-            ids = self.make(piece)
-        if len(self) >= CACHED:
-            self.old = dict(self)
-            self.clear()
-        self[piece] = ids
-        return ids
+def _mapped_word(letters: str, space: str) -> str:
+    return space + letters if letters.isascii() else space + _mapped(letters)
 
 
 class Encoder:
@@ -57,8 +45,9 @@ class Encoder:
     A byte-level tokenizer cuts a text into pieces that it encodes each by
     itself, and a space before a visible character always begins a new piece.
     So texts are cut there. Words among those met first are looked up and put
-    together by Arrow, a whole batch at once; the others come from a cache of
-    recent words, and those not held go through the library. A text with a
+    together by Arrow, a whole batch at once. Of the others, plain ones are cut
+    by Arrow as well, into letters and marks, the rest by the library; pieces
+    not held are encoded by the library, each different one once. A text with a
     space before white space or at its end is cut nowhere but by the library.
     So goes a text whole that holds the name of an added token, which the
     library looks for before it cuts.
@@ -75,38 +64,55 @@ class Encoder:
             raise ValueError("a byte-level tokenizer without normalizer is needed")
         if tokenizer.pre_tokenizer.add_prefix_space:
             raise ValueError("a tokenizer that adds no space is needed")
-        # words are those after a space, held without it
-        self.pieces, self.words = _Cache(self._piece), _Cache(self._word)
+        self.held: dict[str, bytes] = {"": b""}  # ids by piece
         self.bytes_of = [int(i).to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
+        # words are those after a space, held without it
         self.frequent, self.frequent_ids = pa.array([], pa.string()), pa.array([], pa.binary())
 
-    def _piece(self, mapped: str) -> bytes:
-        return b"".join([self.bytes_of[t.id] for t in self.model.tokenize(mapped)])
-
-    def _text(self, text: str) -> bytes:
-        return b"".join([self.pieces[mapped] for mapped, _ in self.cut(text)])
+    def encoded(self, pieces: list[str]) -> list[bytes]:
+        """Ids of different pieces, their bytes written as the tokenizer does."""
+        tokenize, bytes_of = self.model.tokenize, self.bytes_of
+        return [b"".join([bytes_of[t.id] for t in tokenize(p)]) for p in pieces]
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        held = self.held
+        missing = [p for p in dict.fromkeys(pieces) if p not in held]
+        if missing:
+            held.update(zip(missing, self.encoded(missing), strict=True))
+        out = [held[p] for p in pieces]
+        if len(held) > CACHED:
+            self.held = {"": b""}
+        return out
+
+    def _cut(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that the library cuts."""
+        pieces = [[mapped for mapped, _ in self.cut(text)] for text in texts]
+        ids = iter(self._ids(list(chain.from_iterable(pieces))))
+        return [b"".join(islice(ids, len(own))) for own in pieces]
+
+    def _words(self, words: pa.Array) -> pa.Array:
+        """Ids of different words after a space."""
+        parts = pc.extract_regex(words, _PLAIN)
+        plain = parts.is_valid()
+        parts, at = parts.filter(plain), np.asarray(plain)
+        made, space = [], _mapped(" ")
+        for name in "a", "b", "line", "c", "d":
+            coded = parts.field(name).dictionary_encode()
+            pieces = coded.dictionary.to_pylist()
+            if name == "line":
+                pieces = [_mapped(p) for p in pieces]
+            elif name in "ac":
+                pieces = [_mapped_word(p, space if name == "a" else "") for p in pieces]
+            made.append(pa.array(self._ids(pieces), pa.binary()).take(coded.indices))
+        others = self._cut([" " + w for w in words.filter(pc.invert(plain)).to_pylist()])
+        ids = pa.concat_arrays([pc.binary_join_element_wise(*made, pa.scalar(b"", pa.binary())), pa.array(others, pa.binary())])
+        place = np.empty(len(words), np.int64)
+        place[at], place[~at] = np.arange(len(parts)), np.arange(len(parts), len(words))
+        return ids.take(pa.array(place))
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _simple(self, word: str, space: str) -> bytes | None:
-        """Letters are one piece, and so are ASCII marks behind them."""
-        stem = word.rstrip(_MARKS)
-        if not stem.isalpha() or max(stem) >= _PLAIN:
-            return None
-        ids = self.pieces[_mapped(space + stem)]
-        return ids if len(stem) == len(word) else ids + self.pieces[word[len(stem) :]]
-
-    def _word(self, word: str) -> bytes:
-        """Ids of a word after a space, or of two words with a line end
-        between; anything else is for the library to cut."""
-        ids = self._simple(word, " ")
-        if ids is None and "\n" in word:
-            before, _, after = word.partition("\n")
-            a, b = self._simple(before, " "), self._simple(after, "")
-            ids = a + self.pieces[_mapped("\n")] + b if a and b else None
-        return self._text(" " + word) if ids is None else ids
-
     def __call__(self, texts: list[str]) -> list[bytes]:
         out, group, size = [], [], 0
         for text in texts:
@@ -118,25 +124,22 @@ class Encoder:
         return out + self._together(group)
 
     def _together(self, texts: list[str]) -> list[bytes]:
-        heads, rests = [], []
-        for text in texts:
+        firsts, rests, wholes = [], [], {}
+        for k, text in enumerate(texts):
+            first, rest = text, None
             if any(name in text for name in self.added):
-                heads.append(self._whole(text))
-                rests.append(None)
-                continue
-            if _UNCUT.search(text):
-                first, rest = text, None
-            else:
+                wholes[k], first = self._whole(text), ""
+            elif not _UNCUT.search(text):
                 first, space, rest = text.partition(" ")
                 rest = rest if space else None
-            heads.append(self._text(first))
+            firsts.append(first)
             rests.append(rest)
+        heads = [wholes.get(k) or head for k, head in enumerate(self._cut(firsts))]
         lists = pc.split_pattern(pa.array(rests, pa.large_string()), " ")
         words = lists.flatten().cast(pa.string())
         at = pc.index_in(words, value_set=self.frequent)
         missing = words.filter(at.is_null()).dictionary_encode()
-        met = missing.dictionary.to_pylist()
-        ids = pa.array(list(map(self.words.__getitem__, met)), pa.binary())
+        ids = self._words(missing.dictionary)
         place = np.asarray(at.fill_null(0)).astype(np.int64)
         place[np.asarray(at.is_null())] = np.asarray(missing.indices) + len(self.frequent)
         all_ids = pa.concat_arrays([self.frequent_ids, ids]).cast(pa.large_binary())
