@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapwright.llm import exact_dedup, line_dedup, main_text, mixing, packing, quality, simhash, substring, token_files, warc
-from gapwright.llm.scratch import new_folder
+from gapwright.llm import bpe, exact_dedup, line_dedup, main_text, mixing, packing, quality, simhash, substring, token_files, turns, warc, whitening
+from gapwright.llm.scratch import kept, new_folder
 from gapwright.llm.ship import ship
 from gapwright.llm.text import n_words, whole
 
@@ -75,10 +75,31 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.scored(docs, model).drop("text")
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+
+
+def op12_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    told = bpe.decode(bpe.encode(docs, TOKENIZER), TOKENIZER)
+    return told.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op13_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = turns.damaged(table(spark, folder, "conversations").select("conv_id", "turn", "role", "text"))
+    plans = kept(turns.audits(rows, live_col="live"), "audits")
+    told = turns.digests(turns.repaired(rows, plans, live_col="live"))
+    both = plans.join(told.withColumnRenamed("conv_id", "_conv"), F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    return both.select(*plans.columns, F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_substring_dedup, op3_simhash, op4_warc, op5_token_files, op6_pack, op7_exact_dedup, op8_line_dedup, op9_main_text, op10_quality_rules)
-}
+    for f in (
+        op1_mix_sources, op2_substring_dedup, op3_simhash, op4_warc, op5_token_files, op6_pack, op7_exact_dedup, op8_line_dedup, op9_main_text,
+        op10_quality_rules, op11_whitening, op12_bpe, op13_turn_repair,
+    )
+}
 
 ORACLE: dict[str, str] = {
     "op1_mix_sources": f"""
