@@ -84,54 +84,56 @@ def filter_category(df: DataFrame, col: str, category: str) -> DataFrame:
     return df if category == "ALL" else df.filter(F.col(col) == category)
 
 
-# lengths of the leading pieces of values that texts are searched by
-PIECES = (12, 6, 3, 2, 1)
+# characters of the pieces that texts and values meet by; shorter values are their own piece
+GRAM = 3
 
 
-def contains_any(df: DataFrame, text: str, dim: DataFrame, value: str, small: int = 500) -> DataFrame:
+def contains_any(df: DataFrame, text: str, dim: DataFrame, value: str) -> DataFrame:
     """Rows whose lower-cased text contains any dimension value as a substring.
 
-    Up to ``small`` values go to the tasks as one array and each text is
-    searched where it lies; the array is cut off beyond, so its size is bounded.
-    With more values, different texts meet values by equal leading pieces, each
-    value by the longest of ``PIECES`` it has, and a text counts if it contains
-    a value it meets. Which way is taken is decided when the query runs; both
-    look at the text alone and give the same rows, with repeats and nulls of
-    other columns as they are.
+    A value can only lie in a text that holds all its runs of ``GRAM``
+    characters, so it waits at the rarest of them: the one in the fewest texts,
+    counted over all. Texts meet values on those runs alone, and what meets is
+    compared. The same plan serves one value and any number of them. A value
+    with a run that no text has is given up at once; blank values and null
+    texts never match. Repeats and other columns stay as they are.
     """
     needle = F.lower(F.trim(F.col(value)))
     values = dim.select(needle.alias("__needle")).filter(F.col("__needle") != "").distinct()
-    listed = values.limit(small + 1).agg(F.collect_list("__needle")).scalar()
-    rows = df.withColumn("__values", listed)
-    few = F.size("__values") <= small
     low = F.lower(F.trim(F.col(text)))
-    # bound as a lambda variable the text is lower-cased once, not once per value
-    found = F.exists(F.array(low), lambda t: F.exists("__values", lambda v: F.contains(t, v)))
-    near = rows.filter(few & found).drop("__values")
-    # no row passes here unless there are many values
-    many = rows.filter(~few).drop("__values")
-    hits = _texts_with(many.select(low.alias("__low")).filter("__low IS NOT NULL").distinct(), values)
-    return near.unionByName(many.join(hits, F.md5(low) == F.col("__hash"), "left_semi"))
-
-
-def _texts_with(texts: DataFrame, values: DataFrame) -> DataFrame:
-    """``__hash`` of the texts that contain a value."""
-    size = F.coalesce(*[F.when(F.length("__needle") >= n, F.lit(n)) for n in PIECES])
-    anchors = values.withColumn("__n", size).select("__needle", F.expr("left(__needle, __n)").alias("__piece"))
-    keyed = texts.select(F.md5("__low").alias("__hash"), "__low")
-    cut = F.array_distinct(F.flatten(F.array(*[_pieces(n) for n in PIECES])))
-    pairs = keyed.select("__hash", F.explode(cut).alias("__piece")).join(anchors, "__piece")
-    short = pairs.filter(F.col("__piece") == F.col("__needle")).select("__hash").distinct()
-    long = pairs.filter(F.col("__piece") != F.col("__needle")).select("__hash", "__needle").distinct()
-    held = keyed.join(long, "__hash").filter(F.contains("__low", "__needle")).select("__hash")
-    return short.unionByName(held).distinct()
-
-
-def _pieces(n: int) -> Column:
-    places = F.sequence(F.lit(1), F.length("__low") - n + 1)
-    return F.when(F.length("__low") >= n, F.transform(places, lambda i: F.substring(F.col("__low"), i, F.lit(n)))).otherwise(
-        F.array().cast("array<string>")
-    )
+    texts = df.select(low.alias("__low")).filter("__low IS NOT NULL")
+    anchors = _rarest(values, texts)
+    # texts that no value waits for go no further than their scan
+    met = texts.select(F.md5("__low").alias("__hash"), F.explode(_runs(F.col("__low"), values)).alias("__run")).join(anchors, "__run")
+    pairs = met.select("__hash", "__needle").distinct()
+    return df.join(pairs, (F.md5(low) == F.col("__hash")) & F.contains(low, F.col("__needle")), "left_semi")
+
+
+def _rarest(values: DataFrame, texts: DataFrame) -> DataFrame:
+    """``__needle`` and the run of it that the fewest texts hold."""
+    size = F.least(F.length("__needle"), F.lit(GRAM))
+    own = F.when(size == GRAM, _of_size("__needle", GRAM)).otherwise(F.array("__needle"))
+    runs = values.select("__needle", F.explode(own).alias("__run"))
+    # counts add up in each task, so what moves is runs, not texts
+    held = texts.select(F.explode(_runs(F.col("__low"), values)).alias("__run")).groupBy("__run").agg(F.count(F.lit(1)).alias("__n"))
+    counted = runs.join(held, "__run", "left").groupBy("__needle").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__run").alias("run"))).alias("__least"))
+    return counted.filter("__least.n > 0").select("__needle", F.col("__least.run").alias("__run"))
+
+
+def _of_size(text: Column | str, size: int) -> Column:
+    """Different runs of ``size`` characters, in one pass over the text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+
+
+def _runs(low: Column, values: DataFrame) -> Column:
+    """Runs of a text by which values may meet it; shorter ones only where
+    there are values as short."""
+    none = F.array().cast("array<string>")
+    sizes = [_of_size(low, GRAM)]
+    for n in range(1, GRAM):
+        there = values.agg(F.coalesce(F.bool_or(F.length("__needle") == n), F.lit(False))).scalar()
+        sizes.append(F.when(there, _of_size(low, n)).otherwise(none))
+    return F.concat(*sizes)
 
 
 def compare(
