@@ -1,4 +1,12 @@
-"""Staged publishing of a catalog table under a merge function."""
+"""Publishing of catalog tables by versions and a pointer.
+
+The content of a table lies in version tables ``name__v1``, ``name__v2``, …,
+each written once and never changed. ``name`` is a view of one of them and is
+switched, in one catalog call, when the next version is complete: a reader sees
+the old content or the new one, whenever it looks and wherever a run stops. The
+version before the current one is kept, so that readers that began with it can
+end; older ones and unfinished ones are dropped.
+"""
 
 from __future__ import annotations
 
@@ -10,56 +18,94 @@ from gapwright.sources.tables import write_table
 
 Merge = Callable[[DataFrame, DataFrame], DataFrame]
 
+VERSION = "gapwright.version"  # property of the view
 
-def _swap_in(spark: SparkSession, target: str) -> None:
-    spark.sql(f"DROP TABLE IF EXISTS {target}")
-    spark.sql(f"ALTER TABLE {target}_next RENAME TO {target}")
 
+def _numbered(spark: SparkSession, target: str, mark: str) -> list[int]:
+    """Numbers of the tables ``target__<mark>N`` that there are."""
+    space, _, name = target.rpartition(".")
+    among = f"IN {space} " if space else ""
+    names = [r["tableName"] for r in spark.sql(f"SHOW TABLES {among}LIKE '{name}__{mark}*'").collect()]
+    ends = [n[len(name) + 2 + len(mark) :] for n in names if n.startswith(f"{name}__{mark}")]
+    return sorted(int(e) for e in ends if e.isdigit())
 
-def replace_table(spark: SparkSession, target: str, df: DataFrame) -> DataFrame:
-    """Put a new content in place of a table that ``df`` may itself read, and
-    give the table as it is now. Frames read from the old content end with it."""
-    write_table(df, f"{target}_next")
-    _swap_in(spark, target)
-    return spark.table(target)
 
+def current(spark: SparkSession, target: str) -> int:
+    """The version ``target`` shows; 0 where it is no view of one."""
+    if not spark.catalog.tableExists(target):
+        return 0
+    rows = spark.sql(f"SHOW TBLPROPERTIES {target}").collect()
+    return next((int(r["value"]) for r in rows if r["key"] == VERSION), 0)
 
-def recover(spark: SparkSession, target: str, merge: Merge) -> None:
-    """Finish what an interrupted run left: a swap that had begun, or a staging
-    table that was built but not merged. Running it again changes nothing."""
-    exists = spark.catalog.tableExists
-    if exists(f"{target}_next"):
-        if exists(target):
-            spark.sql(f"DROP TABLE {target}_next")  # may be partly written
-        else:
-            spark.sql(f"ALTER TABLE {target}_next RENAME TO {target}")
-            spark.sql(f"DROP TABLE IF EXISTS {target}_staging")
-    if exists(f"{target}_staging") and exists(target):
-        _merge_staging(spark, target, merge)
+
+def _switch(spark: SparkSession, target: str, version: int) -> None:
+    shown = current(spark, target)
+    if shown == 0 and spark.catalog.tableExists(target):
+        # a plain table of this name becomes the first version
+        spark.sql(f"ALTER TABLE {target} RENAME TO {target}__v0")
+    spark.sql(f"CREATE OR REPLACE VIEW {target} TBLPROPERTIES ('{VERSION}' = '{version}') AS SELECT * FROM {target}__v{version}")
+
+
+def _clean(spark: SparkSession, target: str) -> None:
+    """Drop versions before the last but one, and such as were never shown."""
+    shown = current(spark, target)
+    numbers = _numbered(spark, target, "v")
+    before = max((n for n in numbers if n < shown), default=shown)
+    for n in numbers:
+        if n not in (shown, before):
+            spark.sql(f"DROP TABLE IF EXISTS {target}__v{n}")
+
+
+def replace_table(spark: SparkSession, target: str, df: DataFrame) -> DataFrame:
+    """Put a new content in place of a table that ``df`` may itself read, and
+    give the table as it is now. Frames read from the content before stay good
+    until the table is replaced once more."""
+    version = max([current(spark, target), *_numbered(spark, target, "v")]) + 1
+    write_table(df, f"{target}__v{version}")
+    _switch(spark, target, version)
+    _clean(spark, target)
+    return spark.table(f"{target}__v{version}")
 
 
 def recover_tables(spark: SparkSession, targets: Sequence[str]) -> None:
-    """Finish interrupted swaps of tables that are replaced as a whole: what was
-    written and not yet renamed takes its place before the table is looked at."""
+    """Take away what interrupted runs left behind. What ``target`` shows does
+    not change, but for a plain table that was renamed and not yet shown again."""
     for target in targets:
-        if spark.catalog.tableExists(f"{target}_next") and not spark.catalog.tableExists(target):
-            spark.sql(f"ALTER TABLE {target}_next RENAME TO {target}")
+        numbers = _numbered(spark, target, "v")
+        if numbers and not spark.catalog.tableExists(target):
+            _switch(spark, target, numbers[-1])
+        if numbers:
+            _clean(spark, target)
+
+
+def recover(spark: SparkSession, target: str, merge: Merge) -> None:
+    """Finish what an interrupted run left: rows that were staged and not
+    merged are merged. Running it again changes nothing."""
+    recover_tables(spark, [target])
+    for staged in _numbered(spark, target, "staging"):
+        # a staging table names the version it becomes part of
+        if staged > current(spark, target):
+            _merge_staging(spark, target, staged, merge)
+        else:
+            spark.sql(f"DROP TABLE IF EXISTS {target}__staging{staged}")
 
 
-def _merge_staging(spark: SparkSession, target: str, merge: Merge) -> None:
-    merged = merge(spark.table(target), spark.table(f"{target}_staging"))
-    write_table(merged, f"{target}_next")
-    _swap_in(spark, target)
-    spark.sql(f"DROP TABLE IF EXISTS {target}_staging")
+def _merge_staging(spark: SparkSession, target: str, version: int, merge: Merge) -> None:
+    staging = f"{target}__staging{version}"
+    write_table(merge(spark.table(target), spark.table(staging)), f"{target}__v{version}")
+    _switch(spark, target, version)
+    spark.sql(f"DROP TABLE IF EXISTS {staging}")
+    _clean(spark, target)
 
 
 def publish(spark: SparkSession, target: str, found: DataFrame, merge: Merge, schema: str) -> DataFrame:
     """Merge newly found rows into ``target``: write them to a staging table,
-    merge into a new table, swap it in, drop the staging table. The table that
-    is being read is never written to."""
-    if not spark.catalog.tableExists(target) and not spark.catalog.tableExists(f"{target}_next"):
-        write_table(spark.createDataFrame([], schema), target)
+    merge into the next version, switch the view, drop the staging table. A run
+    that stopped before is finished first."""
     recover(spark, target, merge)
-    write_table(found, f"{target}_staging")
-    _merge_staging(spark, target, merge)
+    if not spark.catalog.tableExists(target):
+        replace_table(spark, target, spark.createDataFrame([], schema))
+    version = max([current(spark, target), *_numbered(spark, target, "v")]) + 1
+    write_table(found, f"{target}__staging{version}")
+    _merge_staging(spark, target, version, merge)
     return spark.table(target)
