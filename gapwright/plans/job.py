@@ -104,6 +104,6 @@ def curate(
     model = quality.Model(facility, long, bridge, mapping, indicators, described, corrections)
     put("dq_metrics", quality.dq_metrics(model, now, thresholds))
     publish(
-        spark, name("dq_gap"), quality.dq_gaps(model), lambda old, found: merge_gaps(old, found, now), GAP_SCHEMA
+        spark, name("dq_gap"), quality.dq_gaps(model), lambda old, found: merge_gaps(old, found, now), GAP_SCHEMA, ["gap_id"]
     )
     return model
