@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from gapwright.bindings import inputs
+from gapwright.bindings import inputs, standins
 from gapwright.bindings.catalog import DERIVED, bind, is_label, strip
 from gapwright.bindings.inputs import merged_sql
 from gapwright.bindings.standins import standin
 from gapwright.functions import jsontext, text
 from gapwright.operators import aggregates, joins, upsert
 from gapwright.plans import curation, quality, vocabulary
-from gapwright.session import settled
+from gapwright.session import checkpoint_dir, settled
+from gapwright.sources import publish
+from gapwright.streaming import edits as stream
 
 c = F.col
 
@@ -119,6 +123,39 @@ bind(
 )
 
 
+def streamed(s, d):
+    """Facilities after the edit feed is taken in as a stream, a file at a time."""
+    source = s.readStream.schema(standin(s, d, "events").schema).option("maxFilesPerTrigger", 1)
+    events = source.parquet(f"{d}/event[s].parquet")  # a pattern may name one file as well as a folder
+    feed = s.sql(standins.text_of("edits"), events=events)
+    name = f"edit_state_{uuid.uuid4().hex}"
+    try:
+        stream.run(feed, name, f"{checkpoint_dir(s)}/{name}", quality.validate_edits).awaitTermination()
+        # the state is small next to the feed; settled, its tables can go
+        state = settled(stream.latest(s, name))
+    finally:
+        for table in (name, f"{name}_rejected"):
+            publish.drop(s, table)
+    accepted = state.withColumn("corrected_value", c("value"))
+    return quality.apply_edits(inputs.model(s, d), accepted).facility.select(
+        "facility_id", "facility_name", "pincode", "operator_type", "operator_type_raw", "bed_count", "specialties_raw"
+    )
+
+
+bind("edit_stream", streamed, "SELECT * FROM @edited")
+
+
+def last_status(s, d):
+    """Gaps after a feed of status edits, several for each gap: the last one counts."""
+    feed = standin(s, d, "status_feed").select("gap_id", "status", "resolution_notes", "made_at", "edit_id")
+    return quality.latest_status(feed, "made_at", "edit_id")
+
+
+DERIVED["last_status"] = """
+    SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY gap_id ORDER BY made_at DESC, edit_id DESC) AS rn FROM @status_feed) x WHERE rn = 1"""
+bind("latest_status", last_status, "SELECT gap_id, status, resolution_notes, made_at, edit_id FROM @last_status")
+
+
 def edited_corrections(s, d):
     cols = ["facility_id", "facility_name", "pincode", "operator_type", "facility_type", "bed_count", "specialties_raw"]
     return edited_model(s, d).corrections.select(*cols)

@@ -163,6 +163,12 @@ SQL = {
                          WHEN event_id % 4 = 2 THEN '["hot gear","cold ring"]' ELSE ' _old plate_ ' END
                END AS corrected_value
         FROM @events""",
+    # status edits of documents' gaps: events of one user and type concern one gap
+    "status_feed": """
+        SELECT event_id AS edit_id, ts AS made_at, md5('gap|' || event_type || '|' || CAST(user_id AS STRING)) AS gap_id,
+               CASE event_id % 4 WHEN 0 THEN 'dismissed' WHEN 1 THEN 'resolved' ELSE 'open' END AS status,
+               CASE WHEN event_id % 3 = 0 THEN ' seen by ' || event_type || ' ' END AS resolution_notes
+        FROM @events""",
     # label tables before cleaning
     "dirty_label": """
         SELECT p_partkey, p_type, CASE WHEN p_partkey % 10 = 0 THEN '*__' || p_name || '__*' WHEN p_partkey % 10 = 1 THEN upper(p_name)
@@ -224,15 +230,18 @@ def standin(spark: SparkSession, source: str, name: str) -> DataFrame:
     return _KNOWN[key]
 
 
+def text_of(name: str) -> str:
+    """A stand-in's SQL, the relations it reads in braces."""
+    # braces of JSON in the text are doubled, those around names are not
+    escaped = SQL[name].replace("{", "{{").replace("}", "}}")
+    return re.sub(r"@(\w+)", r"{\1}", escaped)
+
+
 def _read(spark: SparkSession, source: str, name: str) -> DataFrame:
     if name in TABLES:
         return spark.read.parquet(f"{source}/{name}.parquet")
-    text = SQL[name]
-    deps = sorted(set(_used(text)))
-    frames = {dep: standin(spark, source, dep) for dep in deps}
-    # braces of JSON in the text are doubled, those around names are not
-    escaped = text.replace("{", "{{").replace("}", "}}")
-    df = spark.sql(re.sub(r"@(\w+)", r"{\1}", escaped), **frames)
+    frames = {dep: standin(spark, source, dep) for dep in sorted(set(_used(SQL[name])))}
+    df = spark.sql(text_of(name), **frames)
     return _as_stored(df) if name in STORED else df
 
 

@@ -109,6 +109,14 @@ def replace_table(spark: SparkSession, target: str, df: DataFrame) -> DataFrame:
     return spark.table(f"{target}__v{version}")
 
 
+def drop(spark: SparkSession, target: str) -> None:
+    """Take the table away with all its versions."""
+    spark.sql(f"DROP VIEW IF EXISTS {target}")
+    for part in ("v", "staging"):
+        for n in _numbered(spark, target, part):
+            spark.sql(f"DROP TABLE IF EXISTS {target}__{part}{n}")
+
+
 def _sums(df: DataFrame, bucket: Column) -> DataFrame:
     """Rows of each bucket, and the sum of their hashes: two contents of the
     same sums are taken for equal (64-bit hashes of whole rows)."""
