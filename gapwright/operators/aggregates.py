@@ -35,59 +35,73 @@ def conditional_sums(df: DataFrame, tests: Mapping[str, Column], by: Sequence[st
     )
 
 
-def median(df: DataFrame, col: str, by: Sequence[str] = (), accuracy: int = 20000) -> DataFrame:
+DIGIT = 16  # bits of a double that a round of ``median`` looks at
+
+
+def _ordinal(v: Column) -> Column:
+    """A whole number for each double, in the same order: exponent and mantissa
+    as they are stored. Scaling by powers of two is exact, so equal numbers come
+    from equal doubles only. NaN comes last, as in sorting."""
+    a, one = F.abs(v), F.lit(1 << 52).cast("double")
+    near = F.floor(F.log2(F.least(a, F.lit(1.7e308)))).cast("int")
+    power = lambda e: F.pow(F.lit(2.0), e.cast("double"))
+    e = near + F.when(a < power(near), -1).when(a >= power(near + 1), 1).otherwise(0)
+    # two steps, as 2^1074 is beyond a double
+    small = (a * F.lit(2.0**1000) * F.lit(2.0**74)).cast("long")
+    size = (
+        F.when(F.isnan(v), F.lit(2047 * (1 << 52) + 1))
+        .when(a == float("inf"), F.lit(2047 * (1 << 52)))
+        .when(a < F.lit(2.0**-1022), small)
+        .otherwise((e + 1023).cast("long") * F.lit(1 << 52) + ((a / power(e) - 1) * one).cast("long"))
+    )
+    return F.when(v < 0, -size).otherwise(size)
+
+
+def median(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     """Exact median per group, for groups of any size.
 
     Spark's ``percentile`` keeps all distinct values of a group in one buffer.
-    Here equal values are counted first, on a shuffle by (group, value).
-    Approximate quantiles, whose rank error is at most ``1/accuracy``, bracket
-    the two middle ranks: values below the bracket are only counted, and just
-    the values in the bracket are put in order. The result is exact whatever
-    the accuracy; a higher one makes the bracket narrower.
+    Here the two middle values are found by histograms, each finer than the one
+    before: values are counted by their first 16 bits (adding up in each task),
+    the counts tell in which bucket a middle rank lies, only the values of that
+    bucket are counted by the next 16 bits, and so on. After four rounds a
+    bucket is one value. No task ever orders more than 65,536 counts for a
+    middle rank, whatever the data, and no value is held or moved.
     """
     by = list(by)
-    margin = 2.0 / accuracy
-    values = df.filter(F.col(col).isNotNull()).select(*by, F.col(col).cast("double").alias("__v"))
-    counts = values.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__n"))
-    edges = values.groupBy(*by).agg(
-        F.percentile_approx("__v", [0.5 - margin, 0.5 + margin], accuracy).alias("__q"),
-        F.count(F.lit(1)).alias("__total"),
-    )
-    return _middle(counts, edges, by)
-
-
-def _middle(counts: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
-    lo, hi = F.col("__q")[0], F.col("__q")[1]
-    if by:
-        e = edges.select(*[F.col(k).alias(f"__e{i}") for i, k in enumerate(by)], "__q", "__total")
-        cond = [F.col(k).eqNullSafe(F.col(f"__e{i}")) for i, k in enumerate(by)]
-        marked = counts.join(e, cond)
-    else:
-        marked = counts.withColumn("__e", edges.select(F.struct("__q", "__total")).scalar()).select(
-            "__v", "__n", F.col("__e.__q").alias("__q"), F.col("__e.__total").alias("__total")
-        )
-    # all values under the bracket become one row carrying their count
-    place = F.when(F.col("__v") < lo, F.lit(None)).otherwise(F.col("__v"))
-    kept = (
-        marked.filter(F.col("__v") <= hi)
-        .groupBy(*by, place.alias("__v"))
-        .agg(F.sum("__n").alias("__n"), F.max("__total").alias("__total"))
-    )
-    order = Window.partitionBy(*by).orderBy(F.asc_nulls_first("__v"))
-    ends = F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    # 0-based ranks of the two middle rows
-    first = F.floor((F.col("__total") - 1) / 2)
-    second = F.floor(F.col("__total") / 2)
-    ranked = kept.withColumn("__end", ends).withColumn("__start", F.col("__end") - F.col("__n"))
-
-    def holds(rank: Column) -> Column:
-        return (F.col("__start") <= rank) & (rank < F.col("__end"))
-
-    agg = ranked.groupBy(*by).agg(
-        F.max(F.when(holds(first), F.col("__v"))).alias("__a"),
-        F.max(F.when(holds(second), F.col("__v"))).alias("__b"),
-    )
-    return agg.select(*by, (F.col("__a") + (F.col("__b") - F.col("__a")) * 0.5).alias("median"))
+    names = [f"__g{i}" for i in range(len(by))]
+    v = F.col(col).cast("double")
+    rows = df.filter(F.col(col).isNotNull()).select(*[F.col(c).alias(n) for c, n in zip(by, names)], v.alias("__v"), _ordinal(v).alias("__o"))
+    counts = [F.count(F.lit(1)).alias("__n")]
+    wanted = None
+    for shift in range(64 - DIGIT, -1, -DIGIT):
+        bucket = F.shiftright("__o", shift).alias("__b")
+        if shift == 0:
+            counts.append(F.max("__v").alias("__v"))
+        if wanted is None:
+            found = rows.groupBy(*names, bucket).agg(*counts)
+            ranks = F.expr("array(struct(0 AS t, (__total - 1) DIV 2 AS r), struct(1 AS t, __total DIV 2 AS r))")
+            summed = found.withColumn("__total", F.sum("__n").over(Window.partitionBy(*names)))
+            held = summed.withColumn("__w", F.explode(ranks)).select(*names, F.col("__w.t").alias("__t"), F.col("__w.r").alias("__r"), "__b", "__n")
+        else:
+            before = wanted.select(*[F.col(n).alias(f"{n}w") for n in names], "__t", "__r", F.col("__b").alias("__p"))
+            inside = F.shiftright("__o", shift + DIGIT) == F.col("__p")
+            for n in names:
+                inside = inside & F.col(n).eqNullSafe(F.col(f"{n}w"))
+            places = before.drop("__t", "__r").distinct()
+            found = rows.join(places, inside).groupBy(*names, "__p", bucket).agg(*counts)
+            same = F.col("__p") == F.col("__q")
+            for n in names:
+                same = same & F.col(n).eqNullSafe(F.col(f"{n}w"))
+            held = found.join(before.withColumnRenamed("__p", "__q"), same)
+        ends = F.sum("__n").over(Window.partitionBy(*names, "__t").orderBy("__b"))
+        at = held.withColumn("__end", ends).withColumn("__start", F.col("__end") - F.col("__n"))
+        hit = at.filter((F.col("__start") <= F.col("__r")) & (F.col("__r") < F.col("__end")))
+        wanted = hit.select(*names, "__t", (F.col("__r") - F.col("__start")).alias("__r"), "__b", *(["__v"] if shift == 0 else []))
+    a, b = (F.max(F.when(F.col("__t") == t, F.col("__v"))) for t in (0, 1))
+    middle = wanted.groupBy(*names).agg(a.alias("__a"), b.alias("__b"))
+    value = F.when(F.col("__a") == F.col("__b"), F.col("__a")).otherwise(F.col("__a") + (F.col("__b") - F.col("__a")) * 0.5)
+    return middle.select(*[F.col(n).alias(c) for c, n in zip(by, names)], value.alias("median"))
 
 
 def majority_vote(df: DataFrame, key: str, value: str, weight: str | None = None) -> DataFrame:
