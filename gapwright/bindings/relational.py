@@ -299,12 +299,19 @@ bind(
 )
 
 
+# the categories of the synthetic tables; the mapping to explore has others as well
+EXPLORED = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
+DERIVED["explored"] = f"""
+    SELECT DISTINCT trim(indicator_key) AS indicator_key, trim(specialty_category) AS specialty_category FROM @explored_imap
+    WHERE trim(specialty_category) IN {EXPLORED}"""
+
+
 def profile(s, d):
-    return exploration.category_profile(inputs.long(s, d), standin(s, d, "imap"))
+    return exploration.category_profile(inputs.long(s, d), standin(s, d, "explored_imap"), EXPLORED)
 
 
 def ranked(s, d):
-    return exploration.ranked_profile(inputs.long(s, d), standin(s, d, "imap"))
+    return exploration.ranked_profile(inputs.long(s, d), standin(s, d, "explored_imap"), EXPLORED)
 
 
 DERIVED["profile"] = f"""
@@ -312,7 +319,7 @@ DERIVED["profile"] = f"""
            max(indicator_value) AS max_demand_pct, quantile_cont(indicator_value, 0.5) AS median_demand_pct,
            count(indicator_value) AS indicator_count, count(*) FILTER (is_suppressed) AS suppressed_indicator_count,
            any_value(h.households) AS households_surveyed
-    FROM @long l JOIN @imap i ON i.indicator_key = l.indicator_key
+    FROM @long l JOIN @explored i ON i.indicator_key = l.indicator_key
     JOIN (SELECT district_name, state_ut, max(indicator_value) AS households FROM @long WHERE indicator_key = 'households_surveyed' GROUP BY 1, 2) h
       ON h.district_name = l.district_name AND h.state_ut = l.state_ut
     GROUP BY 1, 2, 3"""

@@ -8,6 +8,7 @@ from gapwright.bindings import cleaning, inputs
 from gapwright.bindings.catalog import DERIVED, bind, is_label, r, rounded, strip
 from gapwright.bindings.cleaning import LAT_SQL, LON_SQL, NOT_SPARSE, OPERATOR_SQL, STRAIGHT, SWAPPED, UUID_SQL, int_sql
 from gapwright.bindings.inputs import SIZES
+from gapwright.bindings.relational import EXPLORED
 from gapwright.bindings.standins import standin
 from gapwright.functions import numbers
 from gapwright.operators.filters import apply_gate, facility_gate, gate_audit
@@ -379,14 +380,30 @@ bind("mapping_view", lambda s, d: views.mapping_view(standin(s, d, "bridge"), st
 
 
 def all_details(s, d):
-    """Every mapped indicator of every district: the drill-down without its filter."""
-    imap = standin(s, d, "imap").select("indicator_key", c("specialty_category").alias("category"))
-    return inputs.long(s, d).join(imap, "indicator_key").select("district_name", "state_ut", "category", "indicator_key", "indicator_raw", "indicator_value")
+    return rounded(exploration.demand_detail(inputs.long(s, d), standin(s, d, "explored_imap"), EXPLORED), 2)
 
 
-bind("category_exploration", all_details, """
-    SELECT district_name, state_ut, specialty_category AS category, l.indicator_key, indicator_raw, indicator_value
-    FROM @long l JOIN @imap i ON i.indicator_key = l.indicator_key""")
+DERIVED["detail"] = f"""
+    SELECT district_name, state_ut, specialty_category AS category, l.indicator_key, indicator_raw, {r('indicator_value', 2)} AS demand_pct, is_suppressed
+    FROM @long l JOIN @explored i ON i.indicator_key = l.indicator_key"""
+bind("category_exploration", all_details, "SELECT * FROM @detail")
+
+
+def one_detail(s, d):
+    """The drill-down into the first district of the survey: its indicators and its ranked categories."""
+    long, imap = inputs.long(s, d), standin(s, d, "explored_imap")
+    first = long.agg(F.min(F.struct("state_ut", "district_name")).alias("x"))
+    district, state = (first.select(f"x.{n}").scalar() for n in ("district_name", "state_ut"))
+    shown = exploration.district_detail(long, imap, district, state, EXPLORED)
+    own = long.filter((c("district_name") == district) & (c("state_ut") == state))
+    ranks = exploration.ranked_profile(own, imap, EXPLORED).select("category", "category_rank_in_district")
+    return rounded(shown.join(ranks, "category"), 2)
+
+
+bind("district_detail", one_detail, """
+    SELECT d.category, indicator_key, indicator_raw, demand_pct, is_suppressed, category_rank_in_district FROM @detail d
+    JOIN @ranked k ON k.category = d.category AND k.district_name = d.district_name AND k.state_ut = d.state_ut
+    WHERE d.state_ut = (SELECT min(state_ut) FROM @long) AND d.district_name = (SELECT min(district_name) FROM @long WHERE state_ut = (SELECT min(state_ut) FROM @long))""")
 RISK_NORM = "(risk - (SELECT min(risk) FROM @risk)) / ((SELECT max(risk) FROM @risk) - (SELECT min(risk) FROM @risk))"
 bind("risk_tiers", lambda s, d: rounded(scoring.risk_tiers(inputs.core(s, d))), f"""
     SELECT district_name, state_ut, {r('risk')} AS desert_risk, {r('n')} AS desert_risk_norm,

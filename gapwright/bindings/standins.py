@@ -118,6 +118,12 @@ SQL = {
             ('child_12_23m_vaccinated_pct', 'LARGE'), ('high_blood_sugar_pct', 'SMALL'),
             ('all_anaemic_pct', 'MEDIUM'), ('births_csection_pct', 'PROMO'), ('tobacco_use_pct', 'STANDARD'),
             ('retired_key_pct', 'SMALL'), ('retired_key_pct', 'PROMO')) t(k, c)""",
+    # as above with spellings to clean and categories that are none of the list
+    "explored_imap": """
+        SELECT indicator_key, CASE indicator_key WHEN 'all_anaemic_pct' THEN ' ' || specialty_category || ' ' ELSE specialty_category END AS specialty_category
+        FROM @imap
+        UNION ALL SELECT k, c FROM (VALUES ('w15_with_high_bp_pct', 'OUTSIDE'), ('tobacco_use_pct', 'OUTSIDE'), ('tobacco_use_pct', 'STANDARD'),
+            ('high_blood_sugar_pct', 'economy'), ('births_csection_pct', ' ')) t(k, c)""",
     # clean facilities
     "facility": """
         SELECT c_name AS facility_id,
