@@ -491,7 +491,7 @@ def inferred(s, d):
     return found.select("doc_id", F.md5("context_text").alias("context_md5"), "inferred_label")
 
 
-WORDS = "SELECT DISTINCT {k}, unnest(regexp_split_to_array(lower({x}), '[^a-z0-9]+')) AS w FROM {t}"
+WORDS = "SELECT DISTINCT {k}, unnest(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+')) AS w FROM {t}"
 DERIVED["doc_context"] = f"SELECT doc_id, {cleaning.CONTEXT_SQL.format('source', 'lang', 'text')} AS x FROM @unlabelled"
 DERIVED["doc_label"] = "SELECT DISTINCT source || ' ' || lang AS label FROM @documents"
 DERIVED["label_hit"] = f"""
@@ -526,29 +526,63 @@ bind("inference_writeback", written_back, f"""
         WHERE c.w <> '' GROUP BY 1, 2) h ON h.facility_id = f.facility_id AND h.rn = 1""")
 
 
-def parsed_twice(s, d):
-    """Survey values by the vectorised UDF and by built-ins, side by side."""
-    raw = c("births_csection_pct")
-    rows = standin(s, d, "wide").select("district_name", inference.parse_udf()(raw).alias("u"), numbers.suppressed_number(raw).alias("b"))
-    return rows.select(
-        "district_name", c("u.value").alias("udf_value"), c("u.suppressed").alias("udf_suppressed"),
-        c("b.value").alias("value"), c("b.suppressed").alias("suppressed"),
-    )
+def suggested(s, d):
+    """Languages as labels for documents without one; documents that name none
+    are asked about, and the answer stands in for a model's."""
+    labels = standin(s, d, "documents").where("lang <> 'en'").select(F.concat("lang", F.lit(" archive")).alias("label")).distinct()
+    answer = lambda p: F.concat(F.lit("```text\n"), F.element_at(F.array(*map(F.lit, ("maybe the DE ARCHIVE", "none of them", "FR archive"))), (F.length(p) % 3 + 1).cast("int")), F.lit("\n```"))
+    found = inference.suggest_labels(missing_docs(s, d), labels, "doc_id", answer)
+    return found.select("doc_id", F.md5("context_text").alias("context_md5"), "suggested_label", "source")
+
+
+DERIVED["lang_label"] = "SELECT DISTINCT lang || ' archive' AS label FROM @documents WHERE lang <> 'en'"
+DERIVED["lang_hit"] = f"""
+    SELECT c.doc_id, l.label, row_number() OVER (PARTITION BY c.doc_id ORDER BY count(*) DESC, l.label) AS rn
+    FROM ({WORDS.format(k='doc_id', x='x', t='@doc_context')}) c JOIN ({WORDS.format(k='label', x='label', t='@lang_label')}) l ON l.w = c.w
+    WHERE c.w <> '' GROUP BY 1, 2"""
+DERIVED["lang_prompt"] = "SELECT '" + inference.PROMPT_HEAD.replace("\n", "' || chr(10) || '") + f"""' || chr(10) || string_agg(label, ', ' ORDER BY label) || chr(10) || chr(10)
+    || '{inference.PROMPT_RECORD}' || chr(10) AS head FROM @lang_label"""
+DERIVED["asked_model"] = """
+    SELECT doc_id, x, ['maybe the DE ARCHIVE', 'none of them', 'FR archive'][CAST(length(head || x) % 3 AS INTEGER) + 1] AS said FROM @doc_context, @lang_prompt"""
+bind("suggest_labels", suggested, """
+    SELECT a.doc_id, md5(a.x) AS context_md5, coalesce(h.label, (SELECT min(label) FROM @lang_label l WHERE lower(a.said) = lower(l.label)),
+               (SELECT min(label) FROM @lang_label l WHERE contains(lower(a.said), lower(l.label))), a.said) AS suggested_label,
+           CASE WHEN h.label IS NULL THEN 'query' ELSE 'classify' END AS source
+    FROM @asked_model a LEFT JOIN (SELECT * FROM @lang_hit WHERE rn = 1) h ON h.doc_id = a.doc_id""")
+
+
+def parsed(s, d):
+    """Survey values as they are parsed, each under both names that a caller may use."""
+    rows = standin(s, d, "wide").select("district_name", numbers.suppressed_number(c("births_csection_pct")).alias("b"))
+    value, suppressed = c("b.value"), c("b.suppressed")
+    return rows.select("district_name", value.alias("udf_value"), suppressed.alias("udf_suppressed"), value.alias("value"), suppressed.alias("suppressed"))
 
 
 VALUE_SQL = "TRY_CAST(replace(replace(nullif(trim(births_csection_pct), '*'), '(', ''), ')', '') AS DOUBLE)"
-bind("udf_parse", parsed_twice, f"""
+bind("udf_parse", parsed, f"""
     SELECT district_name, {VALUE_SQL} AS udf_value, trim(births_csection_pct) = '*' AS udf_suppressed,
            {VALUE_SQL} AS value, trim(births_csection_pct) = '*' AS suppressed FROM @wide""")
 TOPICS = ("nation_1 ", "nation_2 ", "machinery", "furniture")
 
-# a lambda travels to the tasks by value, so they need not have this package
-FIRST_NAMED = lambda text, labels: next((x for x in labels if x in text), None)
+
+
+def topic_model():
+    """Loader of a classifier that names the first topic a text holds. Functions
+    within travel to the tasks by value, so they need not have this package."""
+
+    def load():
+        def first_named(texts, labels):
+            return [next((x for x in labels if x in t), None) for t in texts]
+
+        return first_named
+
+    return load
+
 
 bind(
     "udf_classify",
     lambda s, d: standin(s, d, "raw").select(
-        "unique_id", inference.classify_udf(FIRST_NAMED, TOPICS)(F.lower("description")).alias("label")
+        "unique_id", inference.classify_udf(topic_model(), TOPICS, "first topic")(F.lower("description")).alias("label")
     ),
     "SELECT unique_id, CASE " + " ".join(f"WHEN contains(lower(description), '{t}') THEN '{t}'" for t in TOPICS) + " END AS label FROM @raw",
 )

@@ -195,10 +195,15 @@ def options(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(*cols).distinct().orderBy(*cols)
 
 
-def label_list(df: DataFrame, col: str) -> DataFrame:
-    """One row holding the distinct labels in order: the list that a question
-    or a choice is made from. Operators over many rows use ``labels`` instead."""
-    return labels(df, col).agg(F.array_sort(F.collect_list("label")).alias("labels"))
+MOST_LABELS = 400  # of a list to choose from
+
+
+def label_list(df: DataFrame, col: str, limit: int = MOST_LABELS) -> DataFrame:
+    """One row holding the first ``limit`` distinct labels in order: the list
+    that a question or a choice is made from. Each task keeps ``limit`` labels
+    and only those are merged. Operators over many rows use ``labels`` instead."""
+    first = labels(df, col).orderBy("label").limit(limit)
+    return first.agg(F.array_sort(F.collect_list("label")).alias("labels"))
 
 
 def labels(df: DataFrame, col: str) -> DataFrame:

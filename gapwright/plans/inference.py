@@ -3,7 +3,8 @@ and reading of a model's answer."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import sys
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,7 +24,7 @@ def facility_context(name: Column, kind: Column, description: Column) -> Column:
 
 
 def _words(c: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != ""))
+    return F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
 
 
 def by_token_overlap(contexts: DataFrame, labels: DataFrame) -> DataFrame:
@@ -67,14 +68,27 @@ def corrections_from_labels(inferred: DataFrame, key: str, now: Column) -> DataF
     )
 
 
-def classify_udf(fn: Callable[[str, Sequence[str]], str | None], labels: Sequence[str]):
-    """Wrap a text classifier as a vectorised UDF over context text, for use
-    where a model is called from the tasks."""
+Classifier = Callable[[list[str], list[str]], Sequence[str | None]]
+
+
+def classify_udf(load: Callable[[], Classifier], labels: Sequence[str], name: str | None = None):
+    """A text classifier as a vectorised UDF over context text, for use where a
+    model runs in the tasks. ``load`` gives a function from a list of texts and
+    the labels to one label or None per text. Each batch asks it once, and once
+    for each different text in it. A model with a ``name`` is loaded once per
+    Python worker and serves its later tasks; without one, once per task."""
     fixed = list(labels)
 
     @F.pandas_udf("string")
-    def classified(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else fn(t, fixed))
+    def classified(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        held = sys.__dict__.setdefault("_gapwright_models", {}) if name else {}
+        if name not in held:
+            held[name] = load()
+        model = held[name]
+        for texts in batches:
+            asked = texts.dropna().unique().tolist()
+            said = dict(zip(asked, model(asked, fixed), strict=True)) if asked else {}
+            yield texts.map(said).astype(object).where(texts.notna(), None)
 
     return classified
 
@@ -116,15 +130,19 @@ def suggest_labels(
     """``key, context_text, suggested_label, source``: the classifier's label, and
     where it has none the label read from ``answer(prompt)``. ``answer`` maps a
     prompt column to a text column, for instance a vectorised UDF that calls a
-    model; rows that are settled give it NULL."""
+    model; it is asked once for each different context without a label, and
+    what it says goes back to all rows of that context. All labels are
+    candidates of the classifier; a prompt lists the first ``MOST_LABELS``."""
     first = infer_labels(missing, labels, key, classifier)
-    listed = attach_stats(first, label_list(labels, labels.columns[0]), "__l")
-    choices = F.col("__l.labels")
-    open_prompt = F.when(F.col("inferred_label").isNull(), prompt(F.col("context_text"), choices))
-    asked = listed.withColumn("__answer", answer(open_prompt))
-    label = F.coalesce("inferred_label", parse_answer(F.col("__answer"), choices))
-    source = F.when(F.col("inferred_label").isNotNull(), "classify").when(label.isNotNull(), "query")
-    return asked.select(key, "context_text", label.alias("suggested_label"), source.alias("source"))
+    listed = label_list(labels, labels.columns[0])
+    context = F.col("context_text")
+    open_ = first.filter(F.col("inferred_label").isNull() & context.isNotNull()).select("context_text").distinct()
+    asked = attach_stats(open_, listed, "__l").select(F.md5("context_text").alias("__asked"), answer(prompt(context, F.col("__l.labels"))).alias("__answer"), "__l")
+    told = asked.select("__asked", parse_answer(F.col("__answer"), F.col("__l.labels")).alias("__said"))
+    unlabelled = F.when(F.col("inferred_label").isNull(), F.md5("context_text"))
+    both = first.join(told, unlabelled == F.col("__asked"), "left")
+    source = F.when(F.col("inferred_label").isNotNull(), "classify").when(F.col("__said").isNotNull(), "query")
+    return both.select(key, "context_text", F.coalesce("inferred_label", "__said").alias("suggested_label"), source.alias("source"))
 
 
 def parse_udf():

@@ -285,6 +285,51 @@ def test_suggestions_ask_only_where_the_classifier_has_none(spark):
     assert {(r["k"], r["suggested_label"], r["source"]) for r in rows} == {(1, "heart care", "classify"), (2, "skin care", "query"), (3, None, None)}
 
 
+def test_words_are_those_of_any_alphabet(spark):
+    missing = spark.createDataFrame([(1, "Müller, Zahnärztin"), (2, "клиника зрения"), (3, "眼科 病院"), (4, "rztin")], "k int, context_text string")
+    labels = spark.createDataFrame([("zahnärztin",), ("зрения",), ("病院",), ("m",)], "label string")
+    rows = inference.infer_labels(missing, labels, "k").collect()
+    assert {(r["k"], r["inferred_label"]) for r in rows} == {(1, "zahnärztin"), (2, "зрения"), (3, "病院"), (4, None)}
+
+
+def test_a_model_is_loaded_once_and_asked_once_per_text(spark, tmp_path):
+    log = str(tmp_path / "log")
+
+    def load():
+        open(log, "a").write("load\n")
+
+        def model(texts, labels):
+            open(log, "a").write(f"ask {len(texts)}\n")
+            return [labels[len(t) % len(labels)] if t else None for t in texts]
+
+        return model
+
+    texts = [("aa",), ("b",), (None,), ("aa",), ("",)] * 200
+    df = spark.createDataFrame(texts, "t string").coalesce(1)
+    label = inference.classify_udf(load, ["even", "odd"], f"test {log}")
+    for _ in range(2):
+        got = [r[0] for r in df.select(label("t")).collect()]
+        assert got == ["even", "odd", None, "even", None] * 200
+    lines = open(log).read().split()
+    assert lines.count("load") == 1 and lines == ["load", "ask", "3", "ask", "3"]
+
+
+def test_each_context_is_asked_about_once(spark):
+    missing = spark.createDataFrame([(k, f"nothing {k % 3}") for k in range(30)] + [(99, None)], "k int, context_text string")
+    labels = spark.createDataFrame([(f"kind {k:03d}",) for k in range(600)], "label string")
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def answer(prompt):
+        asked.add(1)
+        return "Kind 007" if prompt.endswith("0") and "kind 399" in prompt and "kind 400" not in prompt else "kind 500 " + prompt[-1]
+
+    rows = inference.suggest_labels(missing, labels, "k", answer).collect()
+    said = {r["k"]: (r["suggested_label"], r["source"]) for r in rows}
+    assert asked.value == 3 and len(rows) == 31 and said[99] == (None, None)
+    assert said[0] == ("kind 007", "query") and said[1] == ("kind 500 1", "query")
+
+
 def test_demo_row_is_added_once(spark, model):
     once = curation.anchor_row(model.facility, model.long, {"facility_id": "demo"}, "737101")
     assert once.count() == 4 and once.filter("facility_id = 'demo'").first()["pincode"] == "500001"
