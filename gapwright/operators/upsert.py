@@ -82,6 +82,12 @@ def apply_string_map(df: DataFrame, col: str, mapping: DataFrame, raw: str = "ra
     return out.filter(F.trim(F.col(col)) != "").distinct()
 
 
+def clean_labels(lists: Column) -> Column:
+    """Cleaned different labels of a JSON list, blanks and fragments left out."""
+    kept = F.filter(json_list(lists), is_label)
+    return F.array_distinct(F.filter(F.transform(kept, strip_markup), lambda x: x != ""))
+
+
 def bridge_rows(entities: DataFrame, key: str = "facility_id", lists: str = "specialties_raw", out: str = "specialty") -> DataFrame:
     """Distinct cleaned (entity, label) rows out of a JSON-list column."""
     rows = entities.select(key, F.explode(json_list(F.col(lists))).alias("__item"))

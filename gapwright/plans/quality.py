@@ -21,10 +21,10 @@ from gapwright.operators.upsert import (
     DISMISS_NOTE,
     apply_gap_status,
     edits_to_overlay,
+    clean_labels,
     insert_absent,
     last_edits,
     merge_gaps,
-    missing_bridge_rows,
     overlay,
     resync_bridge,
     upsert_corrections,
@@ -57,56 +57,115 @@ class Thresholds:
     districts_expected: int = 706
 
 
-def dq_stats(m: Model) -> DataFrame:
-    """One row with every count the metrics need: one aggregate per table, put
-    together as scalar subqueries."""
-    c = F.col
-    facility = m.facility.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_distinct("facility_id").alias("ids"),
-        F.count_if(c("district_id").isNull()).alias("no_district"),
-        F.count_if(c("doctors_count").isNull()).alias("no_doctors"),
-        F.count_if(c("bed_count").isNull()).alias("no_beds"),
-        F.count_if(c("join_confidence") == "high").alias("high"),
-    )
-    # one row per (district, indicator) first: both distinct counts, the row
-    # counts and the two key lists come out of it
-    cells = m.long.groupBy("district_id", "indicator_key").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(c("indicator_value").isNull()).alias("nulls")
-    )
-    survey = cells.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-        F.count_distinct("district_id").alias("districts"),
-        F.coalesce(F.sum("nulls"), F.lit(0)).alias("nulls"),
-    )
-    districts = cells.select("district_id").distinct()
-    supplied = m.facility.select("district_id").filter(c("district_id").isNotNull()).distinct()
-    gaps = districts.join(supplied.withColumn("hit", F.lit(1)), "district_id", "left").agg(
-        F.count(F.lit(1)).alias("districts"), F.count_if(c("hit").isNull()).alias("zero")
+@dataclass(frozen=True)
+class Findings:
+    """What one pass over each table of a model finds. Metrics and gaps are made
+    from these and look at no table again, but for descriptions of facilities
+    without label.
+
+    ``cells``: rows and empty values by (district, indicator). ``keys`` and
+    ``labels``: indicators and labels, and which tables have them. ``checked``:
+    facilities with what counts for the metrics, and their gaps.
+    """
+
+    cells: DataFrame
+    keys: DataFrame
+    labels: DataFrame
+    checked: DataFrame
+
+
+def survey_cells(long: DataFrame) -> DataFrame:
+    """Rows and empty values by (district, indicator); cells of several surveys
+    add up."""
+    return long.groupBy("district_id", "indicator_key").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("indicator_value").isNull()).alias("nulls")
     )
-    labels = m.bridge.select("specialty").distinct()
-    keys = cells.select("indicator_key").distinct()
-
-    def rows(df: DataFrame) -> DataFrame:
-        return df.agg(F.count(F.lit(1)).alias("n"))
-
-    parts = {
-        "fs": facility.select(F.struct(*facility.columns)),
-        "hs": survey.select(F.struct(*survey.columns)),
-        "dg": gaps.select(F.struct(*gaps.columns)),
-        "unmapped_specialties": rows(without_match(labels, m.mapping, {"specialty": "specialties"})),
-        "orphans": rows(without_match(m.indicator_bridge, keys, ["indicator_key"])),
-        "unmapped_indicators": rows(without_match(keys, m.indicator_bridge, ["indicator_key"])),
-        "bare": rows(without_match(m.facility, m.bridge, ["facility_id"])),
-    }
-    one = m.facility.sparkSession.range(1)
-    return one.select(*[df.scalar().alias(name) for name, df in parts.items()])
-
-
-def dq_metrics(m: Model, now: Column, t: Thresholds = Thresholds()) -> DataFrame:
+
+
+def _presence(key: str, **sides: DataFrame) -> DataFrame:
+    """Each value of ``key`` once, with a flag for each side that has it. The
+    other columns of the sides are reduced to their least value."""
+    frames = []
+    for name, df in sides.items():
+        frames.append(df.distinct().select("*", *[F.lit(s == name).alias(s) for s in sides]))
+    out = frames[0]
+    for df in frames[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    extra = [c for c in out.columns if c != key and c not in sides]
+    return out.groupBy(key).agg(*[F.bool_or(s).alias(s) for s in sides], *[F.min(c).alias(c) for c in extra])
+
+
+def _only(side: str, other: str, key: str) -> Column:
+    """Whether just one side has the key; a null key is the same as no other."""
+    return F.col(side) & (~F.col(other) | F.col(key).isNull())
+
+
+def _keys(cells: DataFrame, indicator_bridge: DataFrame) -> DataFrame:
+    categories = indicator_bridge.groupBy("indicator_key").agg(F.min("specialty_category").alias("specialty_category"), F.count(F.lit(1)).alias("mappings"))
+    return _presence("indicator_key", surveyed=cells.select("indicator_key"), categorised=categories)
+
+
+def _labels(bridge: DataFrame, mapping: DataFrame) -> DataFrame:
+    return _presence("specialty", used=bridge.select("specialty"), mapped=mapping.select(F.col("specialties").alias("specialty")))
+
+
+def _checked(facility: DataFrame, labelled: DataFrame, exclude: Sequence[str] | None) -> DataFrame:
+    """Facilities with flags and gaps; ``exclude`` (None for: nobody) names those
+    that take no labels from their own list. One scan, one join on the id."""
+    c = F.col
+    ids = labelled.select(c("facility_id").alias("__labelled")).distinct()
+    bare = c("__labelled").isNull()
+    takes = F.lit(False) if exclude is None else bare & (~c("facility_id").isin(*exclude) if exclude else F.lit(True))
+    none = F.array().cast("array<string>")
+    joined = facility.join(ids, c("facility_id") == c("__labelled"), "left")
+    added = F.when(takes, clean_labels(c("specialties_raw"))).otherwise(none)
+    told = joined.withColumn("added", F.coalesce(added, none)).withColumn("bare", bare & (F.size("added") == 0))
+    return told.select(
+        "facility_id", "district_id", "added", "bare",
+        c("doctors_count").isNull().alias("no_doctors"), c("bed_count").isNull().alias("no_beds"), (c("join_confidence") == "high").alias("high"),
+        *[F.when(c("bare"), c(x)).alias(x) for x in ("facility_name", "facility_type", "specialties_raw")],
+        _field_gaps().alias("found"),
+    )
+
+
+def findings(m: Model, exclude: Sequence[str] | None = None) -> Findings:
+    cells = survey_cells(m.long)
+    return Findings(cells, _keys(cells, m.indicator_bridge), _labels(m.bridge, m.mapping), _checked(m.facility, m.bridge, exclude))
+
+
+def dq_stats(f: Findings) -> DataFrame:
+    """One row with every count the metrics need. Each part of the findings
+    gives its counts in one aggregate; a row of counts for each part is added
+    up to one row."""
+    c = F.col
+    districts = _presence(
+        "district_id", surveyed=f.cells.select("district_id"), supplied=f.checked.select("district_id").where("district_id IS NOT NULL")
+    ).where("surveyed")
+    count, one = F.count_if, F.count(F.lit(1))
+    parts = [
+        f.checked.agg(
+            one.alias("rows"), F.count_distinct("facility_id").alias("ids"), count(c("district_id").isNull()).alias("no_district"),
+            count("no_doctors").alias("no_doctors"), count("no_beds").alias("no_beds"), count("high").alias("high"), count("bare").alias("bare"),
+        ),
+        f.cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("cells"), F.count_distinct("district_id").alias("districts"), F.coalesce(F.sum("nulls"), F.lit(0)).alias("nulls")),
+        districts.agg(one.alias("places"), count(~c("supplied")).alias("zero")),
+        f.labels.agg(count(_only("used", "mapped", "specialty")).alias("unmapped_specialties")),
+        f.keys.agg(
+            F.coalesce(F.sum(F.when(_only("categorised", "surveyed", "indicator_key"), c("mappings"))), F.lit(0)).alias("orphans"),
+            count(_only("surveyed", "categorised", "indicator_key")).alias("unmapped_indicators"),
+        ),
+    ]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    return rows.agg(*[F.sum(n).alias(n) for n in rows.columns])
+
+
+def dq_metrics(m: Model | Findings, now: Column, t: Thresholds = Thresholds()) -> DataFrame:
     """Fourteen metrics with value, expectation and verdict."""
+    f = findings(m) if isinstance(m, Model) else m
     c = F.col
-    rows = c("fs.rows")
+    rows = c("rows")
 
     def share(part: Column, whole: Column) -> Column:
         return percent(part, whole)
@@ -132,33 +191,33 @@ def dq_metrics(m: Model, now: Column, t: Thresholds = Thresholds()) -> DataFrame
         }
 
     warn, crit, fine = ("warn", "warn"), ("critical", "fail"), ("good", "pass")
-    matched = share(rows - c("fs.no_district"), rows)
-    high = share(c("fs.high"), rows)
+    matched = share(rows - c("no_district"), rows)
+    high = share(c("high"), rows)
     specs = [
         row("facility_rows", "inventory", "Facility rows", rows, t.facility_rows_expected, "count",
             rows.between(*t.facility_rows), warn, "Facilities left once duplicates are merged"),
-        row("facility_duplicate_ids", "facility", "Repeated facility ids", rows - c("fs.ids"), 0, "count",
-            rows == c("fs.ids"), crit, "Ids that more than one facility has"),
+        row("facility_duplicate_ids", "facility", "Repeated facility ids", rows - c("ids"), 0, "count",
+            rows == c("ids"), crit, "Ids that more than one facility has"),
         row("facility_district_match_pct", "facility", "Placed in a district", stable_round(matched, 1),
             t.match_pct_expected, "percent", matched >= t.match_pct, warn,
             "Facilities whose district is known"),
         row("facility_doctors_populated_pct", "facility", "Doctors known",
-            stable_round(share(rows - c("fs.no_doctors"), rows), 1), None, "percent", None, warn,
+            stable_round(share(rows - c("no_doctors"), rows), 1), None, "percent", None, warn,
             "Facilities with a number of doctors"),
         row("facility_beds_populated_pct", "facility", "Beds known",
-            stable_round(share(rows - c("fs.no_beds"), rows), 1), None, "percent", None, warn,
+            stable_round(share(rows - c("no_beds"), rows), 1), None, "percent", None, warn,
             "Facilities with a number of beds"),
         row("facility_join_high_pct", "facility", "Placed with high confidence", stable_round(high, 1),
             None, "percent", high >= t.high_pct, warn, "Facilities placed by an unambiguous postal code"),
-        row("health_indicator_districts", "health_indicator", "Survey districts", c("hs.districts"),
+        row("health_indicator_districts", "health_indicator", "Survey districts", c("districts"),
             t.districts_expected, "count", None, fine, "Districts the survey covers"),
         row("health_indicator_populated_pct", "health_indicator", "Survey cells filled",
-            stable_round(share(c("hs.rows") - c("hs.nulls"), c("hs.rows")), 1), None, "percent", None, fine,
+            stable_round(share(c("cells") - c("nulls"), c("cells")), 1), None, "percent", None, fine,
             "Survey cells that hold a number"),
-        row("districts_zero_facilities", "geographic_gap", "Districts without facility", c("dg.zero"),
+        row("districts_zero_facilities", "geographic_gap", "Districts without facility", c("zero"),
             None, "count", None, warn, "Surveyed districts where no facility was placed; the source may have missed some"),
         row("districts_zero_facilities_pct", "geographic_gap", "Share of districts without facility",
-            stable_round(share(c("dg.zero"), c("dg.districts")), 1), None, "percent", None, warn,
+            stable_round(share(c("zero"), c("places")), 1), None, "percent", None, warn,
             "Part of the surveyed districts where no facility was placed"),
         row("unmapped_specialties", "mapping", "Labels without category", c("unmapped_specialties"), 0,
             "count", c("unmapped_specialties") == 0, warn,
@@ -170,7 +229,7 @@ def dq_metrics(m: Model, now: Column, t: Thresholds = Thresholds()) -> DataFrame
         row("facilities_without_specialty", "mapping", "Facilities without label", c("bare"), 0, "count",
             c("bare") == 0, warn, "Facilities that have no label"),
     ]
-    return stack_rows(dq_stats(m), specs).withColumn("measured_at", now)
+    return stack_rows(dq_stats(f), specs).withColumn("measured_at", now)
 
 
 METRIC_GROUPS = ("inventory", "facility", "health_indicator", "mapping", "geographic_gap")
@@ -196,8 +255,8 @@ def _gap(gap_type, severity, entity_type, key, label, field, current, fix, actio
     )
 
 
-def _facility_gaps(m: Model) -> DataFrame:
-    """Field gaps of facilities: one scan, each row gives one gap per failed test."""
+def _field_gaps() -> Column:
+    """Field gaps of a facility, one for each test it fails."""
     c = F.col
     label = F.coalesce("facility_name", "facility_id")
     pin, kind = F.coalesce("pincode", F.lit("")), F.coalesce("facility_type", F.lit(""))
@@ -218,8 +277,7 @@ def _facility_gaps(m: Model) -> DataFrame:
                  facility_name=c("facility_name")),
         ),
     ]
-    found = m.facility.filter(c("pincode").isNull() | bad_type)
-    return found.select(F.inline(F.filter(F.array(*tests), lambda g: g.isNotNull())))
+    return F.filter(F.array(*tests), lambda g: g.isNotNull())
 
 
 def missing_labels(m: Model) -> DataFrame:
@@ -230,37 +288,36 @@ def missing_labels(m: Model) -> DataFrame:
     return bare.join(m.raw.select("facility_id", "description"), "facility_id", "left")
 
 
-def dq_gaps(m: Model) -> DataFrame:
-    """All gaps the detectors find, each with a stable id and a payload for its fix."""
+def dq_gaps(m: Model, f: Findings | None = None) -> DataFrame:
+    """All gaps the detectors find, each with a stable id and a payload for its
+    fix. ``f`` are the findings of the model, where they are there already."""
+    f = findings(m) if f is None else f
     c = F.col
     nothing = F.lit(None).cast("string")
-    labels = without_match(m.bridge.select("specialty").distinct(), m.mapping, {"specialty": "specialties"})
-    keys = m.long.select("indicator_key").distinct()
-    # an orphan key with several categories is one gap
-    orphans = (
-        without_match(m.indicator_bridge, keys, ["indicator_key"])
-        .groupBy("indicator_key")
-        .agg(F.min("specialty_category").alias("specialty_category"))
-    )
-    unmapped = without_match(keys, m.indicator_bridge, ["indicator_key"])
+    bare = f.checked.where("bare").select("facility_id", "facility_name", "facility_type", "specialties_raw")
+    described = bare.withColumn("description", nothing) if m.raw is None else bare.join(m.raw.select("facility_id", "description"), "facility_id", "left")
     raw_list = F.coalesce("specialties_raw", F.lit(""))
+    # an orphan key with several categories is one gap
+    orphan = F.when(
+        _only("categorised", "surveyed", "indicator_key"),
+        _gap("orphan_indicator_mapping", "critical", "indicator", c("indicator_key"), c("indicator_key"),
+             "indicator_key", c("indicator_key"), "Correct the indicator or take it out",
+             "delete_health_indicator_specialty", indicator_key=c("indicator_key"),
+             specialty_category=c("specialty_category")),
+    )
+    unmapped = F.when(
+        _only("surveyed", "categorised", "indicator_key"),
+        _gap("unmapped_indicator", "warn", "indicator", c("indicator_key"), c("indicator_key"),
+             "specialty_category", nothing, "Choose a category for the indicator",
+             "add_health_indicator_specialty", indicator_key=c("indicator_key")),
+    )
     found = [
-        labels.select(F.inline(F.array(
+        f.labels.where(_only("used", "mapped", "specialty")).select(F.inline(F.array(
             _gap("unmapped_specialty", "warn", "specialty", c("specialty"), c("specialty"), "category", nothing,
                  "Choose a category for the label", "add_specialty_category_mapping", specialty=c("specialty"))
         ))),
-        orphans.select(F.inline(F.array(
-            _gap("orphan_indicator_mapping", "critical", "indicator", c("indicator_key"), c("indicator_key"),
-                 "indicator_key", c("indicator_key"), "Correct the indicator or take it out",
-                 "delete_health_indicator_specialty", indicator_key=c("indicator_key"),
-                 specialty_category=c("specialty_category"))
-        ))),
-        unmapped.select(F.inline(F.array(
-            _gap("unmapped_indicator", "warn", "indicator", c("indicator_key"), c("indicator_key"),
-                 "specialty_category", nothing, "Choose a category for the indicator",
-                 "add_health_indicator_specialty", indicator_key=c("indicator_key"))
-        ))),
-        missing_labels(m).select(F.inline(F.array(
+        f.keys.select(F.inline(F.filter(F.array(orphan, unmapped), lambda g: g.isNotNull()))),
+        described.select(F.inline(F.array(
             _gap("facility_without_specialty", "warn", "facility", c("facility_id"),
                  label_fallback(c("facility_name"), c("description"), c("facility_id")), "specialties_raw", raw_list,
                  "Let a label be inferred from the texts, or choose one",
@@ -268,7 +325,7 @@ def dq_gaps(m: Model) -> DataFrame:
                  current_value=raw_list, facility_name=c("facility_name"), facility_type=c("facility_type"),
                  description=c("description"))
         ))),
-        _facility_gaps(m),
+        f.checked.where(F.size("found") > 0).select(F.inline("found")),
     ]
     gap_id = surrogate_key(c("gap_type"), c("entity_type"), c("entity_key"), F.coalesce("field_name", F.lit("")))
     stacked = union_all(*found)
@@ -301,17 +358,23 @@ def open_gaps(gaps: DataFrame, gap_type: str | None = None) -> DataFrame:
 def dq_refresh(m: Model, prior: DataFrame, now: Column, t: Thresholds = Thresholds(), exclude: Sequence[str] = ()):
     """Whole refresh: take blank labels and JSON fragments out of the bridge, map
     what is unmapped, backfill the bridge, then measure and reconcile the gap
-    list. Gives the new model, the metrics and the gaps. Only the added rows are
-    settled, the tables they are added to are read as they are."""
+    list. Gives the new model, the metrics and the gaps.
+
+    Survey and facilities are read once: the survey is counted by cell, and the
+    facilities are checked and backfilled in the same pass. Both results are
+    written; what follows adds them up.
+    """
     m = replace(m, bridge=m.bridge.filter(is_label(F.col("specialty"))))
-    indicators = settled(map_unmapped_indicators(m.long, m.indicator_bridge))
+    seen = findings(m, exclude)
+    cells, checked = settled(seen.cells), settled(seen.checked)
+    indicators = settled(map_unmapped_indicators(cells, m.indicator_bridge))
     labels = settled(map_unmapped_labels(m.bridge, m.mapping))
-    rows = settled(missing_bridge_rows(m.bridge, m.facility, exclude))
-    indicator_bridge = m.indicator_bridge.unionByName(indicators)
-    mapping = m.mapping.unionByName(labels)
-    bridge = m.bridge.unionByName(rows)
-    new = replace(m, indicator_bridge=indicator_bridge, mapping=mapping, bridge=bridge)
-    return new, dq_metrics(new, now, t), merge_gaps(prior, dq_gaps(new), now)
+    rows = checked.select("facility_id", F.explode("added").alias("specialty")).distinct()
+    new = replace(
+        m, indicator_bridge=m.indicator_bridge.unionByName(indicators), mapping=m.mapping.unionByName(labels), bridge=m.bridge.unionByName(rows)
+    )
+    f = Findings(cells, _keys(cells, new.indicator_bridge), _labels(new.bridge, new.mapping), checked)
+    return new, dq_metrics(f, now, t), merge_gaps(prior, dq_gaps(new, f), now)
 
 
 FIELD_TYPES = {
