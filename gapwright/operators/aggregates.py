@@ -35,75 +35,68 @@ def conditional_sums(df: DataFrame, tests: Mapping[str, Column], by: Sequence[st
     )
 
 
-DIGIT = 16  # bits of a double that a round of ``median`` looks at
-
-
-def _ordinal(v: Column) -> Column:
-    """A whole number for each double, in the same order: exponent and mantissa
-    as they are stored. Scaling by powers of two is exact, so equal numbers come
-    from equal doubles only. NaN comes last, as in sorting."""
-    a, one = F.abs(v), F.lit(1 << 52).cast("double")
-    near = F.floor(F.log2(F.least(a, F.lit(1.7e308)))).cast("int")
-    power = lambda e: F.pow(F.lit(2.0), e.cast("double"))
-    e = near + F.when(a < power(near), -1).when(a >= power(near + 1), 1).otherwise(0)
-    # two steps, as 2^1074 is beyond a double
-    small = (a * F.lit(2.0**1000) * F.lit(2.0**74)).cast("long")
-    size = (
-        F.when(F.isnan(v), F.lit(2047 * (1 << 52) + 1))
-        .when(a == float("inf"), F.lit(2047 * (1 << 52)))
-        .when(a < F.lit(2.0**-1022), small)
-        .otherwise((e + 1023).cast("long") * F.lit(1 << 52) + ((a / power(e) - 1) * one).cast("long"))
-    )
-    return F.when(v < 0, -size).otherwise(size)
+CELLS = 1 << 16  # of a histogram
+
+
+def _scale(v: Column) -> Column:
+    """A bucket for each double, never falling as the double grows: 15 to an
+    octave, below zero and above, so that a bucket spans 5 % of its value."""
+    size = F.floor((F.least(F.log2(F.abs(v)), F.lit(1030.0)) + 1100) * 15).cast("int")
+    return F.when(F.isnan(v), F.lit(CELLS)).when(v == 0, F.lit(0)).when(v < 0, -size).otherwise(size)
 
 
 def median(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     """Exact median per group, for groups of any size.
 
     Spark's ``percentile`` keeps all distinct values of a group in one buffer.
-    Here the two middle values are found by histograms, each finer than the one
-    before: values are counted by their first 16 bits (adding up in each task),
-    the counts tell in which bucket a middle rank lies, only the values of that
-    bucket are counted by the next 16 bits, and so on. After four rounds a
-    bucket is one value. No task ever orders more than 65,536 counts for a
-    middle rank, whatever the data, and no value is held or moved.
+    Here equal values are counted first, on a shuffle by group and value, and
+    the two middle values are found by histograms, each finer than the one
+    before: values are counted by bucket (adding up in each task), the counts
+    tell in which bucket a middle rank lies, and only the values between that
+    bucket's least and largest are counted by the next histogram. The first
+    one has buckets of 5 %, the next two cut what is left into 65,536 cells
+    each. Between the ends of such a cell lie at most some 100,000 different
+    doubles, so the last one counts values. No task ever orders more counts
+    than that for a middle rank, whatever the data, and no value is held.
     """
     by = list(by)
     names = [f"__g{i}" for i in range(len(by))]
     v = F.col(col).cast("double")
-    rows = df.filter(F.col(col).isNotNull()).select(*[F.col(c).alias(n) for c, n in zip(by, names)], v.alias("__v"), _ordinal(v).alias("__o"))
-    counts = [F.count(F.lit(1)).alias("__n")]
+    values = df.filter(F.col(col).isNotNull()).select(*[F.col(c).alias(n) for c, n in zip(by, names)], v.alias("__v"))
+    # the input is read once: all rounds start from one exchange
+    rows = values.groupBy(*names, "__v").agg(F.count(F.lit(1)).alias("__n")).withColumn("__s", _scale(F.col("__v")))
+    place = [*names, "__s", "__lo", "__hi"]
+    share = (F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))
+    cell = F.when(F.col("__hi") > F.col("__lo"), F.least(F.floor(share * CELLS).cast("int"), F.lit(CELLS - 1))).otherwise(0)
     wanted = None
-    for shift in range(64 - DIGIT, -1, -DIGIT):
-        bucket = F.shiftright("__o", shift).alias("__b")
-        if shift == 0:
-            counts.append(F.max("__v").alias("__v"))
+    for step in ("scale", "cell", "cell", "value"):
+        bucket = {"scale": F.col("__s"), "cell": cell, "value": F.col("__v")}[step].alias("__b")
+        counts = [F.sum("__n").alias("__n"), F.min("__v").alias("__least"), F.max("__v").alias("__most")]
         if wanted is None:
             found = rows.groupBy(*names, bucket).agg(*counts)
             ranks = F.expr("array(struct(0 AS t, (__total - 1) DIV 2 AS r), struct(1 AS t, __total DIV 2 AS r))")
-            summed = found.withColumn("__total", F.sum("__n").over(Window.partitionBy(*names)))
-            held = summed.withColumn("__w", F.explode(ranks)).select(*names, F.col("__w.t").alias("__t"), F.col("__w.r").alias("__r"), "__b", "__n")
+            summed = found.withColumn("__total", F.sum("__n").over(Window.partitionBy(*names))).withColumn("__w", F.explode(ranks))
+            held = summed.select("*", F.col("__w.t").alias("__t"), F.col("__w.r").alias("__r"), F.col("__b").alias("__s"))
         else:
-            before = wanted.select(*[F.col(n).alias(f"{n}w") for n in names], "__t", "__r", F.col("__b").alias("__p"))
-            inside = F.shiftright("__o", shift + DIGIT) == F.col("__p")
-            for n in names:
-                inside = inside & F.col(n).eqNullSafe(F.col(f"{n}w"))
-            places = before.drop("__t", "__r").distinct()
-            found = rows.join(places, inside).groupBy(*names, "__p", bucket).agg(*counts)
-            same = F.col("__p") == F.col("__q")
-            for n in names:
-                same = same & F.col(n).eqNullSafe(F.col(f"{n}w"))
-            held = found.join(before.withColumnRenamed("__p", "__q"), same)
+            places = wanted.select(*place).distinct()
+            between = (F.col("r.__v") >= F.col("p.__lo")) & (F.col("r.__v") <= F.col("p.__hi"))
+            inside = rows.alias("r").join(places.alias("p"), _same("r", "p", [*names, "__s"]) & between).select("r.*", "__lo", "__hi")
+            found = inside.groupBy(*place, bucket).agg(*counts)
+            held = found.alias("f").join(wanted.alias("w"), _same("f", "w", place)).select("f.*", "w.__t", "w.__r")
         ends = F.sum("__n").over(Window.partitionBy(*names, "__t").orderBy("__b"))
         at = held.withColumn("__end", ends).withColumn("__start", F.col("__end") - F.col("__n"))
         hit = at.filter((F.col("__start") <= F.col("__r")) & (F.col("__r") < F.col("__end")))
-        wanted = hit.select(*names, "__t", (F.col("__r") - F.col("__start")).alias("__r"), "__b", *(["__v"] if shift == 0 else []))
-    a, b = (F.max(F.when(F.col("__t") == t, F.col("__v"))) for t in (0, 1))
+        wanted = hit.select(*names, "__s", F.col("__least").alias("__lo"), F.col("__most").alias("__hi"), "__t", (F.col("__r") - F.col("__start")).alias("__r"))
+    a, b = (F.max(F.when(F.col("__t") == t, F.col("__lo"))) for t in (0, 1))
     middle = wanted.groupBy(*names).agg(a.alias("__a"), b.alias("__b"))
     value = F.when(F.col("__a") == F.col("__b"), F.col("__a")).otherwise(F.col("__a") + (F.col("__b") - F.col("__a")) * 0.5)
     return middle.select(*[F.col(n).alias(c) for c, n in zip(by, names)], value.alias("median"))
 
 
+def _same(a: str, b: str, columns: Sequence[str]) -> Column:
+    return reduce(lambda x, y: x & y, (F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in columns))
+
+
 def majority_vote(df: DataFrame, key: str, value: str, weight: str | None = None) -> DataFrame:
     """One value per key: most rows (or the largest sum of ``weight``), ties to
     the smallest value. Votes are counted per (key, value) first, so a hot key

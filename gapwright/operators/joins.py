@@ -84,56 +84,63 @@ def filter_category(df: DataFrame, col: str, category: str) -> DataFrame:
     return df if category == "ALL" else df.filter(F.col(col) == category)
 
 
-# characters of the pieces that texts and values meet by; shorter values are their own piece
+# characters of the pieces by which words and values meet; shorter ones are their own piece
 GRAM = 3
 
 
 def contains_any(df: DataFrame, text: str, dim: DataFrame, value: str) -> DataFrame:
     """Rows whose lower-cased text contains any dimension value as a substring.
 
-    A value can only lie in a text that holds all its runs of ``GRAM``
-    characters, so it waits at the rarest of them: the one in the fewest texts,
-    counted over all. Texts meet values on those runs alone, and what meets is
-    compared. The same plan serves one value and any number of them. A value
-    with a run that no text has is given up at once; blank values and null
-    texts never match. Repeats and other columns stay as they are.
+    Values are cut at spaces. A text that contains a value has, for every part
+    of it, a word that contains the part, so texts are looked at word by word
+    and each different word of the corpus once: a value waits at the rarest run
+    of ``GRAM`` characters of its parts, the one in the fewest texts, counted
+    over all; words that hold the run meet the value, then texts that have such
+    a word, and what meets is compared. The same plan serves one value and any
+    number of them. A value with a run that no word has is given up at once;
+    blank values and null texts never match. Repeats and other columns stay as
+    they are.
     """
     needle = F.lower(F.trim(F.col(value)))
     values = dim.select(needle.alias("__needle")).filter(F.col("__needle") != "").distinct()
     low = F.lower(F.trim(F.col(text)))
     texts = df.select(low.alias("__low")).filter("__low IS NOT NULL")
-    anchors = _rarest(values, texts)
-    # texts that no value waits for go no further than their scan
-    met = texts.select(F.md5("__low").alias("__hash"), F.explode(_runs(F.col("__low"), values)).alias("__run")).join(anchors, "__run")
-    pairs = met.select("__hash", "__needle").distinct()
-    return df.join(pairs, (F.md5(low) == F.col("__hash")) & F.contains(low, F.col("__needle")), "left_semi")
-
-
-def _rarest(values: DataFrame, texts: DataFrame) -> DataFrame:
-    """``__needle`` and the run of it that the fewest texts hold."""
-    size = F.least(F.length("__needle"), F.lit(GRAM))
-    own = F.when(size == GRAM, _of_size("__needle", GRAM)).otherwise(F.array("__needle"))
-    runs = values.select("__needle", F.explode(own).alias("__run"))
-    # counts add up in each task, so what moves is runs, not texts
-    held = texts.select(F.explode(_runs(F.col("__low"), values)).alias("__run")).groupBy("__run").agg(F.count(F.lit(1)).alias("__n"))
-    counted = runs.join(held, "__run", "left").groupBy("__needle").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__run").alias("run"))).alias("__least"))
-    return counted.filter("__least.n > 0").select("__needle", F.col("__least.run").alias("__run"))
-
-
-def _of_size(text: Column | str, size: int) -> Column:
-    """Different runs of ``size`` characters, in one pass over the text."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
-
-
-def _runs(low: Column, values: DataFrame) -> Column:
-    """Runs of a text by which values may meet it; shorter ones only where
-    there are values as short."""
-    none = F.array().cast("array<string>")
-    sizes = [_of_size(low, GRAM)]
+    held = _words(texts).select("__hash", F.explode("__all").alias("__word"))
+    words = _words(texts).select(F.explode("__all").alias("__word")).groupBy("__word").agg(F.count(F.lit(1)).alias("__n"))
+    # counts add up in each task, so what moves is different words; kept for both uses
+    words = words.filter("__n > 0")
+    pairs = held.join(_meeting(values, words), "__word").select("__hash", "__needle").distinct()
+    return df.join(pairs, (F.xxhash64(low) == F.col("__hash")) & F.contains(low, F.col("__needle")), "left_semi")
+
+
+def _words(texts: DataFrame) -> DataFrame:
+    """Hash of each text, and its different words. Texts of one hash are told
+    apart when what meets is compared."""
+    return texts.select(F.xxhash64("__low").alias("__hash"), F.array_distinct(F.split("__low", " ")).alias("__all"))
+
+
+def _runs(word: str, size: int) -> Column:
+    """Different runs of ``size`` characters, in one pass over the word."""
+    return F.array_distinct(F.regexp_extract_all(word, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+
+
+def _meeting(values: DataFrame, words: DataFrame) -> DataFrame:
+    """``__word, __needle``: words that hold the part of a value it waits at."""
+    parts = values.select("__needle", F.explode(F.split("__needle", " ")).alias("__part")).filter("__part <> ''")
+    size = F.least(F.length("__part"), F.lit(GRAM))
+    own = F.when(size == GRAM, _runs("__part", GRAM)).otherwise(F.array("__part"))
+    runs = parts.select("__needle", "__part", F.explode(own).alias("__run"))
+    # runs shorter than GRAM are looked for only if there are parts as short
+    sizes = [_runs("__word", GRAM)]
     for n in range(1, GRAM):
-        there = values.agg(F.coalesce(F.bool_or(F.length("__needle") == n), F.lit(False))).scalar()
-        sizes.append(F.when(there, _of_size(low, n)).otherwise(none))
-    return F.concat(*sizes)
+        there = parts.agg(F.coalesce(F.bool_or(F.length("__part") == n), F.lit(False))).scalar()
+        sizes.append(F.when(there, _runs("__word", n)).otherwise(F.array().cast("array<string>")))
+    cut = words.select("__word", "__n", F.explode(F.concat(*sizes)).alias("__run"))
+    counted = cut.groupBy("__run").agg(F.sum("__n").alias("__n"))
+    least = F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__run").alias("run"), F.col("__part").alias("part")))
+    anchors = runs.join(counted, "__run", "left").groupBy("__needle").agg(least.alias("__l")).filter("__l.n > 0")
+    waiting = anchors.select("__needle", F.col("__l.run").alias("__run"), F.col("__l.part").alias("__part"))
+    return cut.join(waiting, "__run").filter(F.contains("__word", "__part")).select("__word", "__needle")
 
 
 def compare(
