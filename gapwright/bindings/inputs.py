@@ -126,6 +126,11 @@ def core(spark: SparkSession, d: str, category: str = "ECONOMY", with_scenario:
     return scoring.gap_core(m.long, m.indicator_bridge, m.facility, m.bridge, m.mapping, category, added)
 
 
+def state(spark: SparkSession, d: str, category: str = "ECONOMY") -> DataFrame:
+    m = model(spark, d)
+    return scoring.gap_state(m.long, m.indicator_bridge, m.facility, m.bridge, m.mapping, category)
+
+
 # ---------------------------------------------------------------- oracle side
 
 DERIVED["state_key"] = "SELECT upper(trim(alias)) AS k, min(canonical_state_ut) AS canonical FROM @states GROUP BY 1"

@@ -418,7 +418,7 @@ DERIVED["change"] = """
 
 
 def compared(s, d):
-    return scoring.scenario_compare(inputs.core(s, d), inputs.core(s, d, with_scenario=True))
+    return scoring.scenario_delta(inputs.state(s, d), inputs.scenario(s, d))
 
 
 bind("scenario_compare", lambda s, d: rounded(compared(s, d)), f"""

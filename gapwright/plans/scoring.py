@@ -18,8 +18,6 @@ from gapwright.functions.numbers import percent, stable_round
 from gapwright.functions.text import any_substring
 from gapwright.operators.aggregates import attach_stats, top_json, topk
 from gapwright.operators.joins import filter_category
-from gapwright.operators.reshape import union_all
-from gapwright.session import settled
 
 DEFAULT_BEDS = 25
 BEDS_PER_BURDEN = 5.0
@@ -120,15 +118,6 @@ def scenario_supply(rows: DataFrame) -> DataFrame:
     )
 
 
-def district_supply(base: DataFrame, scenario: DataFrame | None) -> DataFrame:
-    """Existing plus added supply. The measures add up, so stacking both sides
-    and summing does the work of a full outer join."""
-    if scenario is None:
-        return base
-    both = union_all(base, scenario_supply(scenario))
-    return both.groupBy("district_key", "state_key").agg(*[F.sum(m).alias(m) for m in SUPPLY])
-
-
 def gap_base(demand: DataFrame, supply: DataFrame) -> DataFrame:
     """Demand districts with their supply, 0 where there is none."""
     keyed = demand.withColumn("district_key", match_key(F.col("district_name"))).withColumn(
@@ -141,15 +130,23 @@ def gap_base(demand: DataFrame, supply: DataFrame) -> DataFrame:
     )
 
 
-def score(base: DataFrame) -> DataFrame:
-    """Scores and flags per district.
+def _every_column(df: DataFrame) -> Column:
+    """An aggregate that looks at all columns. Without it the optimizer would
+    cut down a statistic's copy of a frame to the columns it needs, and the two
+    copies would no longer be one exchange."""
+    return F.max(F.xxhash64(*df.columns)).alias("__every")
+
+
+def _with_burden(base: DataFrame) -> DataFrame:
+    """What the scores take from demand alone, so that no supply changes it.
 
     Maxima and the median are one one-row aggregate over the districts, used as
     a scalar subquery. The districts are a bounded set (administrative units),
-    so the exact percentile is safe here. They are settled first: the facts
-    behind them are then aggregated once, not once more for the subquery.
+    so the exact percentile is safe here. The district table is dealt by its
+    key once: the subquery and the rows read that one exchange, so the facts
+    behind it are aggregated once, and nothing runs before the query does.
     """
-    base = settled(base)
+    base = base.repartition("district_key", "state_key")
     households = F.col("households_surveyed")
     burden = F.col("demand_pct") / 100.0 * F.greatest(households, F.lit(1.0))
     burdened = base.withColumn("demand_burden", burden)
@@ -157,21 +154,32 @@ def score(base: DataFrame) -> DataFrame:
         F.max("demand_burden").alias("max_burden"),
         F.max("households_surveyed").alias("max_households"),
         F.percentile("demand_burden", 0.5).alias("median_burden"),
+        _every_column(base),
     )
     s = attach_stats(burdened, stats, "__s")
-    beds = F.col("category_bed_capacity")
-    scored = (
-        s.withColumn("demand_norm", F.try_divide("demand_burden", F.nullif(F.col("__s.max_burden"), F.lit(0.0))))
-        .withColumn("expected_beds", F.greatest(F.col("demand_burden") * BEDS_PER_BURDEN, F.lit(1.0)))
-        .withColumn("supply_norm", F.least(F.lit(1.0), F.try_divide(beds.cast("double"), F.col("expected_beds"))))
-        .withColumn("__sample", F.try_divide(households, F.nullif(F.col("__s.max_households"), F.lit(0.0))))
+    return s.select(
+        *base.columns,
+        "demand_burden",
+        F.try_divide("demand_burden", F.nullif(F.col("__s.max_burden"), F.lit(0.0))).alias("demand_norm"),
+        F.greatest(F.col("demand_burden") * BEDS_PER_BURDEN, F.lit(1.0)).alias("expected_beds"),
+        F.try_divide(households, F.nullif(F.col("__s.max_households"), F.lit(0.0))).alias("__sample"),
+        (F.col("demand_burden") > F.col("__s.median_burden")).alias("__over"),
     )
+
+
+def _supply_norm(beds: Column) -> Column:
+    return F.least(F.lit(1.0), F.try_divide(beds.cast("double"), F.col("expected_beds")))
+
+
+def _scored(state: DataFrame) -> DataFrame:
+    """Scores and flags by the supply that the rows have."""
+    beds = F.col("category_bed_capacity")
+    scored = state.withColumn("supply_norm", _supply_norm(beds))
     diff = stable_round(F.col("demand_norm") - F.col("supply_norm"), 8)
     n = F.col("total_facilities")
     depth = F.when(n >= 10, 1.0).when(n >= 3, 0.75).when(n > 0, 0.5).otherwise(0.15)
-    median = F.col("__s.median_burden")
     return scored.select(
-        *base.columns,
+        *BASE,
         "demand_burden",
         "demand_norm",
         "supply_norm",
@@ -179,7 +187,7 @@ def score(base: DataFrame) -> DataFrame:
         stable_round(F.col("demand_norm") - F.col("supply_norm"), 4).alias("gap_score"),
         stable_round(F.col("demand_norm") * (1 - F.col("supply_norm")), 4).alias("desert_risk_score"),
         stable_round(F.col("supply_norm") - F.col("demand_norm"), 4).alias("balance_ratio"),
-        F.when((beds == 0) & (F.col("demand_burden") > median), "no_supply")
+        F.when((beds == 0) & F.col("__over"), "no_supply")
         .when(diff > WIDE_GAP, "high_gap")
         .when(diff < -WIDE_GAP, "low_demand_high_supply")
         .otherwise("balanced")
@@ -190,6 +198,9 @@ def score(base: DataFrame) -> DataFrame:
     )
 
 
+BASE = ("district_key", "state_key", "district_name", "state_ut", "demand_pct", "households_surveyed", *SUPPLY)
+
+
 def gap_core(
     long: DataFrame,
     imap: DataFrame,
@@ -199,9 +210,31 @@ def gap_core(
     category: str = "ALL",
     scenario: DataFrame | None = None,
 ) -> DataFrame:
+    """Scores per district, with the supply that a scenario adds."""
+    state = gap_state(long, imap, facility, bridge, mapping, category)
+    return _scored(state if scenario is None else with_scenario(state, scenario))
+
+
+def gap_state(
+    long: DataFrame, imap: DataFrame, facility: DataFrame, bridge: DataFrame, mapping: DataFrame, category: str = "ALL"
+) -> DataFrame:
+    """Districts with demand, supply and what the scores need of all districts:
+    the state from which scenarios are scored without looking at facts again."""
     demand = district_demand(long, imap, category)
-    supply = district_supply(bed_supply(facility, bridge, mapping, category), scenario)
-    return score(gap_base(demand, supply))
+    return _with_burden(gap_base(demand, bed_supply(facility, bridge, mapping, category)))
+
+
+def _added(state: DataFrame, scenario: DataFrame) -> DataFrame:
+    """The state with what a scenario adds to each district's supply."""
+    added = scenario_supply(scenario).withColumnsRenamed({m: f"__more_{m}" for m in SUPPLY})
+    return state.join(added, ["district_key", "state_key"], "left")
+
+
+def with_scenario(state: DataFrame, scenario: DataFrame) -> DataFrame:
+    """The state after a scenario. Demand and its statistics stay; only the
+    supply of the districts that it touches grows."""
+    more = {m: F.col(m) + F.coalesce(f"__more_{m}", F.lit(0)) for m in SUPPLY}
+    return _added(state, scenario).select(*[more.get(c, F.col(c)).alias(c) for c in state.columns])
 
 
 GAP_TABLE = (
@@ -490,6 +523,31 @@ def risk_tiers(core: DataFrame) -> DataFrame:
     )
 
 
+def scenario_delta(state: DataFrame, scenario: DataFrame) -> DataFrame:
+    """What ``scenario_compare`` gives for a state and the same after a
+    scenario, from the state alone: both supplies stand in one row, so nothing
+    is aggregated or scored twice and no two results are joined."""
+    risk = lambda beds: F.col("demand_norm") * (1 - _supply_norm(beds))
+    beds = F.col("category_bed_capacity")
+    more = F.coalesce("__more_category_bed_capacity", F.lit(0))
+    risks = state.agg(
+        F.coalesce(F.min(risk(beds)), F.lit(0.0)).alias("lo"), F.coalesce(F.max(risk(beds)), F.lit(1.0)).alias("hi"), _every_column(state)
+    )
+    s = attach_stats(_added(state, scenario), risks, "__r")
+    before, after = (normalized_risk(risk(b), F.col("__r")) for b in (beds, beds + more))
+    return s.select(
+        "district_name",
+        "state_ut",
+        beds.alias("baseline_beds"),
+        (beds + more).alias("scenario_beds"),
+        more.alias("delta_beds"),
+        before.alias("baseline_risk_norm"),
+        after.alias("scenario_risk_norm"),
+        # the same sum where nothing was added
+        F.when(more == 0, F.when(before.isNotNull(), 0.0)).otherwise(after - before).alias("delta_risk"),
+    )
+
+
 def scenario_compare(base: DataFrame, scen: DataFrame) -> DataFrame:
     """Per scenario district: beds and risk before and after, on the baseline's
     risk range. A district the baseline lacks shows no change."""
