@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import calendar
+
 from pyspark.sql import functions as F
 
 from gapwright.bindings import inputs
@@ -16,13 +18,15 @@ c = F.col
 
 # ------------------------------------------------------------------ sources
 
-MONTHS_SQL = ", ".join(f"('{m}', {n}, {a}, {b}, {k})" for m, n, a, b, k in fixed.MONTHLY_SALES)
+# a plan for each month: what is to be sold and spent, and to how many customers
+MONTHLY_PLAN = [(calendar.month_name[n], n, 10_000 + 500 * n, 6_000 + 400 * n, 100 + n * n) for n in range(1, 13)]
+MONTHS_SQL = ", ".join(f"('{m}', {n}, {a}, {b}, {k})" for m, n, a, b, k in MONTHLY_PLAN)
 
 
 def monthly_sales(spark, d, last=9):
     """Literal monthly figures up to a month, next to the orders of that month."""
     months = params.inline_values(
-        spark, fixed.MONTHLY_SALES, "month string, month_num int, revenue int, expenses int, customers int",
+        spark, MONTHLY_PLAN, "month string, month_num int, revenue int, expenses int, customers int",
         c("month_num") <= F.lit(last),
     )
     orders = standin(spark, d, "orders").groupBy(F.month("o_orderdate").alias("month_num")).agg(

@@ -93,6 +93,42 @@ def test_empty_scenario_is_the_baseline(spark, tables):
     assert all(r["improved"] is None for r in scoring.summary_cards(base, none).collect())
 
 
+def test_scenario_delta_is_the_comparison(spark, tables):
+    texts = ["[]", '[{"district_name":"a","state_ut":"S","capability":"heart","capacity":0},{"district_name":"B","state_ut":"S","capability":"x","capacity":50},{"district_name":"zz","state_ut":"S","capability":"x","capacity":5}]']
+    for text in texts:
+        rows = scenario_rows(scenario_frame(spark, text))
+        for category in ("Heart", "ALL"):
+            state = scoring.gap_state(*tables, category)
+            want = scoring.scenario_compare(scoring.gap_core(*tables, category), scoring.gap_core(*tables, category, rows))
+            got = scoring.scenario_delta(state, rows)
+            assert got.columns == want.columns
+            assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_scores_read_the_facts_once_and_run_nothing_early(spark, tables, tmp_path):
+    stored = []
+    for k, t in enumerate(tables):
+        t.write.parquet(str(tmp_path / f"t{k}"))
+        stored.append(spark.read.parquet(str(tmp_path / f"t{k}")))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "")
+    rows = scenario_rows(scenario_frame(spark, "[]"))
+    core, delta = scoring.gap_core(*stored, "Heart"), scoring.scenario_delta(scoring.gap_state(*stored, "Heart"), rows)
+    table = scoring.gap_table(core)
+    assert not tracker.getJobIdsForGroup("building")
+    spark.sparkContext.setJobGroup("other", "")
+    for df in (table, delta):
+        df.collect()
+        skip, scans = None, 0
+        for line in df._jdf.queryExecution().executedPlan().toString().split("\n"):
+            depth = len(line) - len(line.lstrip(" :+-|"))
+            skip = None if skip is not None and depth < skip else skip
+            if skip is None and "== Initial Plan ==" in line:
+                skip = depth - 3  # what was planned at first stands a level deeper
+            scans += skip is None and "FileScan" in line and "bed_count" in line
+        assert scans == 1
+
+
 def test_scenario_adds_supply(spark, tables):
     text = '[{"district_name":"a","state_ut":"S","capability":"heart","capacity":0},{"district_name":"A","state_ut":"S","capability":"","capacity":50}]'
     scen = scoring.gap_core(*tables, "Heart", scenario_rows(scenario_frame(spark, text)))
