@@ -101,7 +101,66 @@ QUERIES: dict[str, Query] = {
     )
 }
 
+
+
+def _repair_sql() -> str:
+    """The damage by CRC-32 over a table of remainders, and the repair as a
+    recursion from each conversation's end: for every grammar state (none yet,
+    after system, user, assistant) the least (cost, audit), with the lines."""
+    after, roles = (2, 2, 3, 2), {2: "user", 3: "assistant"}
+    keeps = {"s": {0: 1}, "u": {0: 2, 1: 2, 3: 2}, "a": {2: 3}}
+
+    def way(cost: str, edit: str, line: str, rest: str) -> str:
+        return f"{{'c': {rest}.c + {cost}, 'a': '{edit}' || {rest}.a, 's': {line + ' || ' if line else ''}{rest}.s}}"
+
+    def used(q: int) -> str:
+        ways = [way("3", "D", "", f"t[{q + 1}]"), f"CASE WHEN fault < 2 THEN {way('2 + fault', 'R', f'chr(10) || {chr(39)}{roles[after[q]]}:{chr(39)} || text', f't[{after[q] + 1}]')} END"]
+        ways += [f"CASE WHEN fault < 2 AND role[1] = '{i}' THEN {way('fault', 'K', 'chr(10) || role || chr(58) || text', f't[{k[q] + 1}]')} END" for i, k in keeps.items() if q in k]
+        return f"list_min(list_filter([{', '.join(ways)}], lambda x: x IS NOT NULL))"
+
+    def inserted(q: int) -> str:
+        one, two = after[q], after[after[q]]
+        a, b = (f"chr(10) || '{roles[n]}:'" for n in (one, two))
+        return f"list_min([u[{q + 1}], {way('2', 'I', a, f'u[{one + 1}]')}, {way('4', 'II', f'{a} || {b}', f'u[{two + 1}]')}])"
+
+    ends = "[{'c': 0, 'a': '', 's': ''}, {'c': 4, 'a': 'II', 's': chr(10) || 'user:' || chr(10) || 'assistant:'}, {'c': 2, 'a': 'I', 's': chr(10) || 'assistant:'}, {'c': 0, 'a': '', 's': ''}]"
+    return f"""
+        WITH RECURSIVE remainders AS (
+          SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS r
+        ), kinds AS (
+          SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(
+              list_prepend(4294967295, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+              lambda c, b: xor(c >> 8, r[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind
+          FROM conversations, remainders
+        ), damaged AS (
+          SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+            CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy
+          FROM kinds WHERE kind > 0
+        ), placed AS (
+          SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS pos FROM damaged
+        ), judged AS (
+          SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 3
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 2
+              WHEN regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS fault,
+            lag(role[1]) OVER (PARTITION BY conv_id ORDER BY pos) || role[1] AS pair
+          FROM placed
+        ), counted AS (
+          SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (fault = 3) AS blank,
+            count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 1) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(pos) AS last
+          FROM judged GROUP BY conv_id
+        ), repaired AS (
+          SELECT conv_id, last AS pos, {ends} AS t FROM counted
+          UNION ALL
+          SELECT conv_id, pos - 1, [{', '.join(inserted(q) for q in range(4))}] FROM (
+            SELECT w.conv_id, w.pos, [{', '.join(used(q) for q in range(4))}] AS u FROM repaired w JOIN judged USING (conv_id, pos)) steps
+        ), best AS (SELECT conv_id, t[1] AS b FROM repaired WHERE pos = 0)
+        SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+          coalesce(illegal, 0) AS illegal, CAST(coalesce(b.c, 0) AS BIGINT) AS cost, coalesce(b.a, '') AS audit, sha256(coalesce(substr(b.s, 2), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN counted USING (conv_id) LEFT JOIN best USING (conv_id)"""
+
+
 ORACLE: dict[str, str] = {
+    "op13_turn_repair": _repair_sql(),
     "op1_mix_sources": f"""
         WITH sized AS (
           SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents

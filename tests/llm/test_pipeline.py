@@ -45,9 +45,11 @@ def test_stages(spark, tmp_path):
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query_reads_all_rows(spark, name):
-    table = "pages" if name.startswith(("op4_", "op9_")) else "documents"
-    key = "page_id" if table == "pages" else "doc_id"
-    want = spark.read.parquet(f"{FOLDER}/{table}.parquet").select(key)
+    number = name.split("_")[0]
+    table, key = {"op4": ("pages", "page_id"), "op9": ("pages", "page_id"), "op11": ("embeddings", "vec_id"), "op13": ("conversations", "conv_id")}.get(
+        number, ("documents", "doc_id")
+    )
+    want = spark.read.parquet(f"{FOLDER}/{table}.parquet").select(key).distinct()
     got = queries.QUERIES[name](spark, FOLDER)
     assert got.select(key).distinct().exceptAll(want).count() == 0 and want.exceptAll(got.select(key).distinct()).count() == 0
 
@@ -57,7 +59,7 @@ def test_query_matches_sql(spark, name):
     import duckdb
 
     with duckdb.connect() as con:
-        for table in ("documents", "pages", "labels"):
+        for table in ("documents", "pages", "labels", "conversations"):
             con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
         found = con.execute(queries.ORACLE[name])
         names = [d[0] for d in found.description]
