@@ -16,10 +16,11 @@ from gapwright.functions.fixed import (
     INDICATOR_CATEGORY_SEED,
 )
 from gapwright.functions.text import is_label
+from gapwright.operators.reshape import resolve_columns
 from gapwright.operators.upsert import backfill_bridge, delete_where, merge_gaps
 from gapwright.plans import curation, quality, vocabulary
 from gapwright.sources.publish import publish, recover_tables, replace_table
-from gapwright.sources.tables import empty
+from gapwright.sources.tables import empty, load, load_aliases
 
 
 @dataclass(frozen=True)
@@ -35,6 +36,27 @@ class Sources:
     mapping: DataFrame
 
 
+# columns of the label-category table, by the words in their names
+MAPPING_COLUMNS = {"category": r"categor", "specialties": r"special|label"}
+
+
+def load_sources(spark: SparkSession, source: str, aliases: str) -> Sources:
+    """Sources out of a folder of Parquet files or a catalog namespace: tables
+    ``facilities``, ``indicators``, ``postal`` and ``mapping``, whose columns
+    may be named in several ways; and alias dictionaries ``states.csv`` and
+    ``districts.csv`` out of the folder ``aliases``."""
+    raw = load(spark, source, "facilities", "indicators", "postal", "mapping")
+    found = resolve_columns(raw["mapping"], MAPPING_COLUMNS)
+    return Sources(
+        facilities=raw["facilities"],
+        indicators=raw["indicators"],
+        postal=raw["postal"],
+        states=load_aliases(spark, f"{aliases}/states.csv", "alias", ["canonical_state_ut"]),
+        districts=load_aliases(spark, f"{aliases}/districts.csv", "alias", ["canonical_district"], also=["canonical_state_ut"]),
+        mapping=raw["mapping"].select(*[F.col(found[c]).alias(c) for c in ("specialties", "category")]),
+    )
+
+
 # all tables that a run replaces as a whole
 TABLES = (
     "facility", "health_indicator", "facility_specialty", "health_indicator_specialty", "specialty_category_mapping",

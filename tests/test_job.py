@@ -76,6 +76,30 @@ def test_edits_and_unfinished_versions(spark, curated):
         assert len(publish._numbered(spark, f"model.{name}", "v")) <= 2
 
 
+def test_sources_out_of_a_folder_and_a_namespace(spark, tmp_path):
+    frames = {"facilities": "raw", "indicators": "wide", "postal": "postal", "mapping": "dirty_mapping"}
+    spark.sql("CREATE DATABASE source")
+    for name, own in frames.items():
+        df = standin(spark, FOLDER, own)
+        if name == "mapping":
+            df = df.select(F.lit(1).alias("row"), F.col("category").alias("Specialty_Category"), F.col("specialties").alias("SPECIALTY"))
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+        df.write.saveAsTable(f"source.{name}")
+    for name in ("states", "districts"):
+        rows = standin(spark, FOLDER, name)
+        (tmp_path / f"{name}.csv").write_text("\n".join([",".join(rows.columns), *(",".join(r) for r in rows.collect())]) + "\n")
+    want = {
+        "facilities": standin(spark, FOLDER, "raw"), "states": inputs.states(spark, FOLDER), "districts": inputs.districts(spark, FOLDER),
+        "mapping": standin(spark, FOLDER, "dirty_mapping").select("specialties", "category"),
+    }
+    for source in (str(tmp_path), "source"):
+        found = job.load_sources(spark, source, str(tmp_path))
+        for name, df in want.items():
+            got = getattr(found, name)
+            assert sorted(map(repr, got.select(*df.columns).collect())) == sorted(map(repr, df.collect())), name
+    spark.sql("DROP DATABASE source CASCADE")
+
+
 def test_correction_settles_a_gap(spark, curated):
     if not spark.catalog.tableExists("model.dq_gap"):
         curated()
