@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gapwright.llm import membership
+from gapwright.llm.ranks import SALTS
 from gapwright.llm.scratch import kept
 from gapwright.llm.text import whole, without_spaces
 
@@ -54,10 +57,16 @@ def exact_dedup(
     group = ["_len", "_head", "_full"]
     alone, open_rows = rows.where("_full IS NULL"), rows.where("_full IS NOT NULL")
     best = F.max(F.struct("_points", (-F.col("_id")).alias("_minus"), (-F.col("_row")).alias("_back"), F.col("_id").alias("keep")))
-    groups = open_rows.groupBy(*group).agg(best.alias("_best"), F.count(F.lit(1)).alias("_size"))
-    joined = open_rows.join(groups, group).select(
-        F.col("_id"), F.col("_best.keep").alias("keep_id"), F.col("_size").alias("group_size"),
-        (F.col("_row") == -F.col("_best._back")).alias("kept"), *(carry or {}),
+    groups = open_rows.groupBy(*group).agg(best.alias("_best"), F.count(F.lit(1)).alias("_size")).where("_size > 1")
+    # a group goes out once for each salt, so its copies lie in as many tasks
+    told = groups.select(*[F.col(c).alias(f"_of{c}") for c in group], "_best", "_size", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    spread = open_rows.withColumn("_own", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int"))
+    same = reduce(lambda x, y: x & y, (F.col(c) == F.col(f"_of{c}") for c in group)) & (F.col("_own") == F.col("_salt"))
+    shared = F.col("_size").isNotNull()
+    joined = spread.join(told, same, "left").select(
+        F.col("_id"), F.when(shared, F.col("_best.keep")).otherwise(F.col("_id")).alias("keep_id"),
+        F.coalesce("_size", F.lit(1).cast("long")).alias("group_size"),
+        F.coalesce(F.col("_row") == -F.col("_best._back"), F.lit(True)).alias("kept"), *(carry or {}),
     )
     single = alone.select(
         "_id", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), *(carry or {})
