@@ -20,11 +20,14 @@ def count_by(df: DataFrame, key: Column, name: str, out: str, limit: int | None
 
 
 def distinct_counts(df: DataFrame, total: str, cols: Mapping[str, str]) -> DataFrame:
-    """Row count and the number of distinct values of some columns."""
-    return df.agg(
-        F.count(F.lit(1)).alias(total),
-        *[F.count_distinct(F.col(c)).alias(out) for out, c in cols.items()],
-    )
+    """Row count and the number of distinct values of some columns, nulls aside.
+
+    Several distinct counts in one aggregate would multiply every row by their
+    number before the shuffle. Here each column is read by itself, made
+    distinct in each task first, and counted; the counts are scalar subqueries
+    beside the row count, so a column costs its own values and nothing else."""
+    counted = {out: df.select(c).filter(F.col(c).isNotNull()).distinct().agg(F.count(F.lit(1))).scalar() for out, c in cols.items()}
+    return df.agg(F.count(F.lit(1)).alias(total)).select(total, *[n.alias(out) for out, n in counted.items()])
 
 
 def conditional_sums(df: DataFrame, tests: Mapping[str, Column], by: Sequence[str] = ()) -> DataFrame:

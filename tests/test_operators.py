@@ -37,6 +37,14 @@ def test_near_pairs_plan_has_no_nested_loop(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_distinct_counts_multiply_no_rows(spark):
+    rows = [(1, "a", None), (1, "b", None), (2, "b", None), (None, "b", None)] * 5
+    found = aggregates.distinct_counts(spark.createDataFrame(rows, "x int, y string, z string"), "n", {"xs": "x", "ys": "y", "zs": "z"})
+    assert found.columns == ["n", "xs", "ys", "zs"] and tuple(found.first()) == (20, 2, 2, 0)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and "Join" not in plan
+
+
 def test_median_is_exact(spark):
     rng = random.Random(3)
     groups = {
