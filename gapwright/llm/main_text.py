@@ -14,7 +14,7 @@ from gapwright.llm.scratch import kept
 from gapwright.llm.text import whole
 
 SALTS = 16
-# a container goes on to a child that holds this share of its text
+# the text is looked for in a child that holds this share of it
 SHARE = 0.6
 
 # fixed values: kinds of elements
@@ -28,7 +28,7 @@ CONTAINER = frozenset("article body div main section table tbody td tr center".s
 ASIDE = frozenset("aside button dialog footer form header menu nav".split())
 MARKED = re.compile(
     r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|header|masthead|footer|sidebar|aside|widget|ad|ads|advert|adverts|"
-    r"advertisement|sponsor|sponsored|promo|banner|cookie|cookies|consent|gdpr|notice|notices|popup|modal|overlay|newsletter|"
+    r"advertisement|teaser|teasers|sponsor|sponsored|promo|banner|cookie|cookies|consent|gdpr|notice|notices|popup|modal|overlay|newsletter|"
     r"subscribe|signup|share|sharing|social|comment|comments|replies|respond|disqus|related|breadcrumb|breadcrumbs|"
     r"pagination|pager|toolbar|search|login|skip)(?:$|[\s_-])"
 )
@@ -169,8 +169,10 @@ class Page:
         names.append(name)
 
     def container(self) -> tuple[int, int]:
-        """(element, score): from the whole page down, while one container
-        inside holds most of the text outside links and side matter."""
+        """(element, score): from the whole page down. An article or main
+        element inside is gone on to while it holds most of the text outside
+        links and side matter, any other container only while nothing but links
+        and side matter stays outside it: an article may lie in several."""
         held = [0] * len(self.tags)
         for (node, words), linked in zip(self.blocks, self.links, strict=True):
             if not self.aside[node]:
@@ -185,10 +187,12 @@ class Page:
             node = max(children[node], key=held.__getitem__)
             if held[node] < SHARE * held[best]:
                 break
-            if self.tags[node] in CONTAINER:
+            if self.tags[node] in ("article", "main"):
                 best = node
-                if self.tags[node] in ("article", "main") and not any(self.tags[c] in ("article", "main") for c in children.get(node, [])):
+                if not any(self.tags[c] in ("article", "main") for c in children.get(node, [])):
                     break
+            elif self.tags[node] in CONTAINER and held[node] == held[best]:
+                best = node
         return best, held[best]
 
     def text(self, path: str | None) -> str:

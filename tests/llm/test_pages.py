@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -32,6 +33,49 @@ def test_pages_without_article():
     assert text("a < b <p>c <3 <p title='x>y'>d") == "a < b\nc <3\nd"
 
 
+def test_an_article_in_several_containers_stays_whole():
+    lead, story = " ".join((LONG * 2).split()), " ".join((LONG * 4).split())
+    page = f"<body><div class=menu>no</div><div class=page><div class=lead><p>{lead}</p></div><div class=story><p>{story}</p></div><div class=links><a href=x>{LONG}</a></div></div></body>"
+    assert text(page).split("\n")[:2] == [lead, story]
+    deep = f"<div class=a><div class=b><div class=c><p>{lead}</p></div><p>end</p></div></div><div class=footer>no</div>"
+    assert text(deep) == lead + "\nend"
+    # an article element is gone on to although something stands outside
+    assert text(f"<div>by hand</div><article><div class=x><p>{story}</p></div><div class=y><p>{lead}</p></div></article>") == story + "\n" + lead
+    assert Page(f"<div><div class=x><p>{story}</p></div><div class=promo>{lead}</div></div>").text(None) == story
+
+
+def plain_text(blocks):
+    """What a page built from ``blocks`` (kind, words) holds as main text."""
+    return "\n".join(words for kind, words in blocks if kind == "text")
+
+
+def test_generated_pages_against_their_plan():
+    r = random.Random(11)
+    side = ["<nav>{}</nav>", "<div class='sidebar-2'>{}</div>", "<footer><p>{}</p></footer>", "<div id=cookie-notice>{}</div>", "<aside>{}</aside>", "<form>{}</form>", "<script>{}</script>", "<div class='ad big'>{}</div>", "<section class=comments><p>{}</p></section>", "<div role=navigation>{}</div>", "<div style='display: none'>{}</div>"]
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(1, 9)))
+    for n in range(300):
+        blocks, html = [], []
+        for _ in range(r.randint(0, 12)):
+            words = " ".join(word() for _ in range(r.randint(1, 60)))
+            if r.random() < 0.4:
+                blocks.append(("side", words))
+                html.append(r.choice(side).format(words))
+            else:
+                blocks.append(("text", words))
+                shape = r.choice(["<p>{}</p>", "<div class=c{}><p>{{}}</p></div>".format(r.randint(0, 3)), "<h2>{}</h2>", "<section><div>{}</div></section>", "<ul><li>{}</ul>"])
+                html.append(shape.format(words.replace(" ", r.choice([" ", "  ", "\n", "&#32;", "<b> </b>"]))))
+        page = "".join(html)
+        for wrap in ("{}", "<body><div class=wrap><div class='inner x'>{}</div></div><header>no</header></body>", "<main>{}</main>"):
+            assert text(wrap.format(page)) == plain_text(blocks), wrap.format(page)
+
+
+def test_a_very_long_page():
+    p = "<p>" + LONG * 50 + "</p>"
+    page = "<div class=menu>" + "<a href=x>no</a>" * 20_000 + "</div><div class=story>" + p * 400 + "</div>"
+    assert text(page) == "\n".join([" ".join((LONG * 50).split())] * 400)
+    assert text("<div>" * 30_000 + "deep" + "</div>" * 30_000) == "deep"
+
+
 def test_host_consensus(spark):
     usual = "<div class='layout'><div class='body-{}'><p>{}</p></div><div class='teaser'><p>{}</p></div></div>"
     rows = [(k, f"http://A.example/{k}", usual.format(k, LONG, "brief " * 8)) for k in range(6)]
