@@ -11,7 +11,8 @@ CHOSEN = (
     "inline_values", "scenario_rows", "sparse_row_filter", "region_label", "edit_validate", "join_full_outer", "fuzzy_pairs",
     "contains_join", "median_exact", "dense_rank_share", "pivot_top3", "district_centroid", "curate_facility", "curation_audit",
     "correct_typos", "dq_metrics", "dq_gaps", "merge_gaps", "resync_bridge", "scenario_replace", "gap_table", "gap_table_scenario",
-    "scenario_impact", "infer_labels", "udf_classify",
+    "scenario_impact", "infer_labels", "udf_classify", "edit_stream", "latest_status", "suggest_labels", "category_profile",
+    "category_exploration", "district_detail", "scenario_compare", "dq_refresh", "distinct_counts", "ordered_labels", "udf_parse",
 )
 
 

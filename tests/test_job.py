@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gapwright.bindings import inputs
+from gapwright.bindings.relational import EXPLORED
 from gapwright.bindings.reports import DEMO
 from gapwright.bindings.standins import standin
 from gapwright.plans import exploration, job, quality
@@ -124,9 +125,10 @@ def test_correction_settles_a_gap(spark, curated):
 def test_district_detail(spark):
     long, imap = inputs.long(spark, FOLDER), standin(spark, FOLDER, "imap")
     one = long.orderBy("state_ut", "district_name").first()
-    rows = exploration.district_detail(long, imap, one["district_name"], one["state_ut"]).collect()
+    rows = exploration.district_detail(long, imap, one["district_name"], one["state_ut"], EXPLORED).collect()
     assert rows and [r["demand_pct"] for r in rows if r["demand_pct"] is not None] == sorted(
         (r["demand_pct"] for r in rows if r["demand_pct"] is not None), reverse=True)
-    ranked = exploration.ranked_profile(long, imap)
+    assert exploration.district_detail(long, imap, one["district_name"], one["state_ut"]).count() == 0  # none of the usual categories
+    ranked = exploration.ranked_profile(long, imap, EXPLORED)
     only = exploration.top_categories(ranked, [one["state_ut"]])
     assert {r["state_ut"] for r in only.collect()} == {one["state_ut"]}
