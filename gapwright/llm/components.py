@@ -20,7 +20,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     node on the smallest neighbour known; minima add up before the shuffle,
     and no node's links meet in one task but in equi joins that can be split.
     Each round is written and read again; rounds grow with the logarithm of
-    the longest chain. Links of a node to itself, repeated ones and nulls add
+    the longest chain, and over ``MOST_ROUNDS`` of them are an error. Links of a node to itself, repeated ones and nulls add
     nothing."""
     now = kept(_pairs(links.where(F.col(a).isNotNull() & F.col(b).isNotNull()), a, b), "links")
     before = None

@@ -64,7 +64,10 @@ def mix(
     one source, ordered last. Empty documents take part; a source of nothing
     but empty documents has target 0 and gives no copies. Repeated rows are
     documents of their own. An empty table gives no rows. Other columns pass
-    through; those named like a result are replaced.
+    through; those named like a result are replaced. A very long document is one
+    row as any other; being taken or not, it may carry its source off its
+    target by up to its own size, so the largest document bounds the distance.
+    Targets come from a window over one row per source, in one task.
     """
     rows = ranked(docs.drop("source_size", "target", "copies", "taken"), [source_col], [size_col, id_col], "_rank")
     sizes = kept(rows.groupBy(F.col(source_col).alias("source")).agg(F.sum(size_col).alias("source_size")), "sizes")

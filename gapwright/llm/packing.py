@@ -179,7 +179,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
 
     Null and empty texts are the end id alone. Rows repeated in full are
     packed as often as they occur. An empty table gives no rows. Other columns
-    are not looked at.
+    are not looked at. A very long text becomes as many full pieces as it fills.
     """
     made = kept(pieces(docs, tokenizer, capacity, end, id_col, text_col), "pieces")
     counts = np.zeros(capacity + 1, np.int64)

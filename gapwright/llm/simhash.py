@@ -232,7 +232,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null and empty texts have fingerprint 0 and link like others. Null ids
     count for nothing as ``component_id`` unless there is no other. Repeated
     rows keep each their row. An empty table gives no rows. Other columns pass
-    through, those named like a result are replaced.
+    through, those named like a result are replaced. A very long text is read
+    shingle by shingle into 64 counts.
     """
     rows = kept(fingerprints(docs.drop("component_id"), text_col, shingle), "fingerprints")
     distinct = kept(rows.groupBy("fp").agg(F.min(id_col).alias("_least")), "distinct")

@@ -80,7 +80,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int | None = 0, id_co
     ends with the first one that fills it. Null and empty texts are the end id
     alone (nothing, if ``end`` is None). Repeated rows are written as often as
     they occur. An empty table gives a folder without segments. Other columns
-    are not looked at. Spark commits the files, so lost or repeated tasks
+    are not looked at. A very long text is a segment of its own. Spark commits the files, so lost or repeated tasks
     leave nothing behind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

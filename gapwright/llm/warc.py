@@ -54,6 +54,9 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     numbers; pages with a null id are the smallest of their group, and if all
     are null, all are responses, as there is no id to refer to. Rows that
     repeat the largest id are all responses. An empty table gives no records.
+    Other columns are not looked at, whatever their names. A very long page is
+    one record; Spark holds a payload as one value of at most 2^31 - 1 bytes,
+    and longer ones do not come to be.
     """
     source = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), whole(html_col).alias("_html"))
     digests = source.withColumn("_digest", F.sha1("_html")).withColumn("_key", F.xxhash64("_digest"))

@@ -150,9 +150,7 @@ def test_mixing_words_come_near(spark):
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    found = Tokenizer.from_file(TOKENIZER)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(TOKENIZER)  # as the file has it
 
 
 def test_token_files(spark, messy, rows, no_docs, tokenizer):

@@ -43,6 +43,29 @@ def test_stages(spark, tmp_path):
     assert packed.s <= packed.n / 1024 * 1.02 + 2
 
 
+def test_stages_on_messy_rows(spark, messy, no_docs):
+    """Null and repeated ids, null and empty texts, ties, a long text, and an
+    empty table, each stage by itself; columns of results' names go through."""
+    docs = messy.withColumn("component_id", F.lit("own")).withColumn("text_sha256", F.lit("own"))
+    rows = lambda df: [(r.doc_id, r.text) for r in df.collect()]
+    data = rows(docs)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        for given in (docs, docs.limit(0)):
+            out = stage(spark, given, FOLDER)
+            assert out.columns == docs.columns, name
+            assert set(out.where("kept <> 'own' OR component_id <> 'own'").select("doc_id").collect()) == set()
+    quality, lines, near, mixed = (stage(spark, docs, FOLDER) for _, stage in corpus_pipeline.STAGES[:4])
+    words = {(i, t): brute.base_counts(t) for i, t in data}
+    assert all(n >= 10 and 100 * again <= 20 * n for n, *_, again in (words[r] for r in rows(quality)))
+    assert sorted(rows(lines), key=str) == sorted(((i, t) for i, _, _, t in brute.lines(data)), key=str)
+    stay = {i for i, _, c in brute.near(data) if i == c}
+    assert {i for i, _ in rows(near)} == stay
+    assert set(rows(mixed)) <= set(data)
+    packed = corpus_pipeline.pack_sequences(spark, docs, FOLDER)
+    assert {r.doc_id for r in packed.select("doc_id").collect()} == {i for i, _ in data}
+    assert corpus_pipeline.pack_sequences(spark, docs.limit(0), FOLDER).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query_reads_all_rows(spark, name):
     number = name.split("_")[0]
