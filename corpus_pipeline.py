@@ -31,7 +31,10 @@ def _aside(docs: DataFrame, names: set[str]) -> tuple[DataFrame, list]:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the classifier."""
+    """Documents that pass the base rules and the classifier. Null and empty
+    texts have no words and fail; repeated rows are judged alike and stay or
+    go together; rows with null ids are judged by their text. Very long texts
+    are read slice by slice. An empty table gives no rows."""
     ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     free, columns = _aside(docs, {*quality.COUNTS, "base_failed", "probability", "kept"})
@@ -40,7 +43,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that an earlier document holds; ``n_chars``
-    is counted again."""
+    is counted again. A null text becomes an empty one. Null ids come after
+    all others; rows repeated under one id are one document and lose no line to
+    each other. An empty table gives no rows."""
     free, columns = _aside(docs, {"n_lines", "n_dropped"})
     out = line_dedup.line_dedup(free).select(*columns)
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
@@ -59,7 +64,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it. Ranks are found on narrow
+    """Every document as often as the mix takes it, those taken never left out.
+    Null sources are one source; documents without words may be taken; repeated
+    rows are taken each by itself. An empty table gives no rows. Ranks are found on narrow
     rows: in the order of size the longest texts would lie in one partition."""
     free, columns = _aside(docs, {"copies"})
     rows = kept(free.withColumn("_row", F.monotonically_increasing_id()), "mix-input")
@@ -68,7 +75,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents and their places in sequences of 1024 tokens."""
+    """Pieces of documents and their places in sequences of 1024 tokens. Null
+    and empty texts are the end id alone; repeated rows are packed as often as
+    they occur; an empty table gives no rows."""
     ship(spark)
     return packing.pack(docs, TOKENIZER)
 
