@@ -69,7 +69,8 @@ def _symbols(rows: DataFrame) -> DataFrame:
         F.when(bare == "", 3).when(F.array_contains(marks, F.substring(bare, -1, 1)), 0).otherwise(1).alias("fault"),
     )
     keys = live.groupBy("conv_id", "turn", "role", "h").agg(F.min("fault").alias("fault"), F.count("h").alias("n"))
-    first = keys.where("h IS NOT NULL").groupBy("conv_id", "role", "h").agg(F.min(F.struct(F.col("turn").isNotNull(), "turn")).alias("at"))
+    # told by what was counted and not by the key, so that both uses read one exchange and texts are read once
+    first = keys.where("n > 0 AND fault >= 0").groupBy("conv_id", "role", "h").agg(F.min(F.struct(F.col("turn").isNotNull(), "turn")).alias("at"))
     firsts = first.select("conv_id", F.col("at.turn").alias("turn"), "role", "h", F.lit(True).alias("first"))
     flagged = keys.alias("k").join(firsts.alias("f"), _same("k", "f", ["conv_id", "turn", "role", "h"]), "left").select("k.*", "first")
     initial = F.instr(F.lit("sua"), F.substring("role", 1, 1))
