@@ -24,7 +24,8 @@ def near_forms(forms: DataFrame) -> DataFrame:
     So two equi joins find every pair once and nothing else: there are no
     candidates to verify, and a bucket never holds more than the strings that
     differ in one given position. Each string gives as many rows as it has
-    characters.
+    characters, which Spark's size estimates, made from the files, do not know;
+    the joins ask for a merge, as neither side may be sent through the driver.
     """
     cut = F.expr(
         "transform(sequence(1, length(form)), "
@@ -33,7 +34,7 @@ def near_forms(forms: DataFrame) -> DataFrame:
     cuts = forms.filter(F.length("form") > 0).select("form", F.inline(cut))
     left = cuts.select(F.col("form").alias("a"), "pos", "rest", F.length("form").alias("len"))
     right = cuts.select(F.col("form").alias("b"), "pos", "rest", F.length("form").alias("len"))
-    swapped = left.join(right, ["pos", "rest", "len"]).filter("a < b").select("a", "b")
+    swapped = left.join(right.hint("merge"), ["pos", "rest", "len"]).filter("a < b").select("a", "b")
     rests = F.expr(
         "array_distinct(transform(sequence(1, length(form)), "
         "i -> concat(substring(form, 1, i - 1), substring(form, i + 1))))"
@@ -42,7 +43,7 @@ def near_forms(forms: DataFrame) -> DataFrame:
         F.col("form").alias("__long"), F.explode(rests).alias("rest")
     )
     shorter = forms.select(F.col("form").alias("__short"))
-    grown = shorter.join(longer, F.col("__short") == F.col("rest")).select(
+    grown = shorter.join(longer.hint("merge"), F.col("__short") == F.col("rest")).select(
         F.least("__short", "__long").alias("a"), F.greatest("__short", "__long").alias("b")
     )
     return swapped.unionAll(grown)
@@ -60,8 +61,8 @@ def near_pairs(df: DataFrame, col: str, usage: str) -> DataFrame:
     second = spellings.select(F.col("form").alias("b_form"), F.col("s").alias("b"), F.col("n").alias("b_cnt"))
     linked = both.select(F.col("a").alias("a_form"), F.col("b").alias("b_form"))
     return (
-        linked.join(first, "a_form")
-        .join(second, "b_form")
+        linked.join(first.hint("merge"), "a_form")
+        .join(second.hint("merge"), "b_form")
         .filter("a < b")
         .select("a", "b", "a_cnt", "b_cnt")
     )

@@ -37,6 +37,12 @@ def test_near_pairs_plan_has_no_nested_loop(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_near_pairs_from_small_files_send_nothing_through_the_driver(spark, tmp_path):
+    spark.createDataFrame([(f"name {n}", n) for n in range(50)], "s string, n int").write.parquet(str(tmp_path / "names"))
+    found = fuzzy.near_pairs(spark.read.parquet(str(tmp_path / "names")), "s", "n")
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_distinct_counts_multiply_no_rows(spark):
     rows = [(1, "a", None), (1, "b", None), (2, "b", None), (None, "b", None)] * 5
     found = aggregates.distinct_counts(spark.createDataFrame(rows, "x int, y string, z string"), "n", {"xs": "x", "ys": "y", "zs": "z"})
