@@ -140,7 +140,9 @@ def suggest_labels(
     asked = attach_stats(open_, listed, "__l").select(F.md5("context_text").alias("__asked"), answer(prompt(context, F.col("__l.labels"))).alias("__answer"), "__l")
     told = asked.select("__asked", parse_answer(F.col("__answer"), F.col("__l.labels")).alias("__said"))
     unlabelled = F.when(F.col("inferred_label").isNull(), F.md5("context_text"))
-    both = first.join(told, unlabelled == F.col("__asked"), "left")
+    # rows that ask nothing meet no answer; null keys would bring them, texts and all, to one task
+    place = F.coalesce(unlabelled, F.concat_ws("-", F.lit(""), F.col(key).cast("string"), F.md5("context_text")))
+    both = first.join(told, place == F.col("__asked"), "left")
     source = F.when(F.col("inferred_label").isNotNull(), "classify").when(F.col("__said").isNotNull(), "query")
     return both.select(key, "context_text", F.coalesce("inferred_label", "__said").alias("suggested_label"), source.alias("source"))
 

@@ -1,5 +1,6 @@
 """Jobs on small frames: the decisions that are easy to get wrong."""
 
+from collections import Counter
 from dataclasses import replace
 
 import pytest
@@ -366,6 +367,22 @@ def test_each_context_is_asked_about_once(spark):
     assert said[0] == ("kind 007", "query") and said[1] == ("kind 500 1", "query")
 
 
+def test_rows_that_ask_nothing_do_not_meet_in_one_task(spark):
+    missing = spark.createDataFrame([(k, "heart here") for k in range(400)] + [(k, None) for k in range(400, 800)] + [(800, "quiet")], "k int, context_text string")
+    labels = spark.createDataFrame([("heart care",)], "label string")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = inference.suggest_labels(missing, labels, "k", lambda p: F.lit("heart care")).withColumn("at", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {(r["k"], r["source"]) for r in found} == {(k, "classify" if k < 400 else "query" if k == 800 else None) for k in range(801)}
+    assert max(Counter(r["at"] for r in found).values()) < 250
+
+
 def test_demo_row_is_added_once(spark, model):
     once = curation.anchor_row(model.facility, model.long, {"facility_id": "demo"}, "737101")
     assert once.count() == 4 and once.filter("facility_id = 'demo'").first()["pincode"] == "500001"
